@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,15 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, written
 
 #: Distinct words and pre-tokens that a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 500_000
+#: Words from which on a block of documents is closed.
+BLOCK_WORDS = 5_000_000
 
 _WORD = re.compile(r"[ \n]?[^ \n]+|[ \n]+?(?=[ \n][^ \n]|\Z)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
-_SCHEMA = "uid long, doc_id {id}, n_bytes long, known long, piece string, uids array<long>, times array<int>"
+NAMES = ["block", "local", "doc_id", "n_bytes", "known", "piece", "docs"]
+_SCHEMA = "block long, local int, doc_id {id}, n_bytes long, known long, piece string, docs array<int>"
 
 
 class Cutter:
@@ -77,65 +81,86 @@ class Cutter:
             self.rest[at] = others[1:]
         return at
 
-    def cut(self, text: str) -> tuple[list[int], int]:
+    def cut(self, text: str) -> tuple[np.ndarray, int]:
         """Word numbers of a text, and its special strings' number."""
         parts, n = [text], 0
         if self.special and self.special.search(text):
             parts = self.special.split(text)
             n = len(parts) - 1
         out: list[int] = []
-        get, learn = self.words.get, self.learn
         for part in parts:
             words = [part] if _OTHER_SPACE.search(part) else _WORD.findall(part)
-            for w in words:
-                at = get(w)
-                out.append(learn(w) if at is None else at)
-        return out, n
+            got = list(map(self.words.get, words))
+            if None in got:
+                for k, at in enumerate(got):
+                    if at is None:
+                        at = self.words.get(words[k])
+                        got[k] = self.learn(words[k]) if at is None else at
+            out += got
+        return np.array(out, np.int32), n
+
+
+class Block:
+    """Documents whose pre-tokens are listed together."""
+
+    def __init__(self, number: int):
+        self.number, self.words, self.docs, self.n = number, [], 0, 0
+
+    def add(self, words: np.ndarray) -> None:
+        self.words.append(words)
+        self.docs += 1
+        self.n += len(words)
+
+    def lists(self, cutter: Cutter, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """A row for each distinct pre-token: the documents of the block, as often as they have it."""
+        if not self.n:
+            return
+        words = np.concatenate(self.words)
+        owner = np.repeat(np.arange(self.docs, dtype=np.int64), [len(w) for w in self.words])
+        first = np.array(cutter.first, np.int64)[words]
+        key = first[first >= 0] << 32 | owner[first >= 0]
+        if cutter.rest:
+            has = np.zeros(len(cutter.first), bool)
+            has[list(cutter.rest)] = True
+            more = [(rest, o) for w, o in zip(words[has[words]].tolist(), owner[has[words]].tolist(), strict=True) for rest in cutter.rest[w]]
+            if more:
+                also = np.array(more, np.int64)
+                key = np.concatenate([key, also[:, 0] << 32 | also[:, 1]])
+        if not len(key):
+            return
+        key.sort()
+        piece, doc = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+        starts = np.nonzero(np.diff(piece, prepend=-1))[0]
+        ends = np.append(starts[1:], len(key))
+        for b in range(0, len(starts), 50_000):
+            lo, hi = starts[b : b + 50_000], ends[b : b + 50_000]
+            m = len(lo)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(lo, hi[-1]) - lo[0], pa.int32()), pa.array(doc[lo[0] : hi[-1]]))
+            columns = [pa.nulls(m, pa.int32()), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([cutter.names[k] for k in piece[lo].tolist()]), lists]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, self.number)), *columns], NAMES)
 
 
 def _cut_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, task, base = Cutter(path), TaskContext.get().partitionId() << 33, 0
+        cutter, number = Cutter(path), TaskContext.get().partitionId() << 24
+        block, id_type = Block(number), pa.null()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            if not texts:
-                continue
-            if len(cutter.words) > MEMORY or len(cutter.names) > MEMORY:
-                cutter.forget()
+            id_type, texts = batch.column(0).type, batch.column(1).to_pylist()
+            if block.n > BLOCK_WORDS or len(cutter.words) > MEMORY:
+                yield from block.lists(cutter, id_type)
+                number += 1
+                block = Block(number)
+                if len(cutter.words) > MEMORY:
+                    cutter.forget()
             cut = [cutter.cut(t or "") for t in texts]
-            sizes = np.fromiter((len(w) for w, _ in cut), np.int64, len(cut))
-            words = np.fromiter((x for w, _ in cut for x in w), np.int64, int(sizes.sum()))
-            owner = np.repeat(np.arange(len(cut)), sizes)
-            known = np.bincount(owner, np.array(cutter.known, np.int64)[words], len(cut)).astype(np.int64) if len(words) else np.zeros(len(cut), np.int64)
-            known += np.fromiter((n for _, n in cut), np.int64, len(cut))
-            uids = task + base + np.arange(len(cut), dtype=np.int64)
-            base += len(cut)
-            sizes_utf8 = np.fromiter((len((t or "").encode()) for t in texts), np.int64, len(cut))
-            n, none = len(cut), pa.nulls
-            names = ["uid", "doc_id", "n_bytes", "known", "piece", "uids", "times"]
-            lists = (pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(uids), ids, pa.array(sizes_utf8), pa.array(known), none(n, pa.string()), none(n, lists[0]), none(n, lists[1])], names)
-            if not len(words):
-                continue
-            first = np.array(cutter.first, np.int64)[words]
-            pieces, docs = [first[first >= 0]], [owner[first >= 0]]
-            if cutter.rest:
-                more = np.nonzero(np.isin(words, np.fromiter(cutter.rest, np.int64, len(cutter.rest))))[0]
-                for k in more.tolist():
-                    rest = cutter.rest[int(words[k])]
-                    pieces.append(np.array(rest, np.int64))
-                    docs.append(np.full(len(rest), owner[k]))
-            key, times = np.unique(np.concatenate(pieces) * n + np.concatenate(docs), return_counts=True)
-            if not len(key):
-                continue
-            piece, doc = key // n, key % n
-            starts = np.nonzero(np.diff(piece, prepend=-1))[0]
-            offsets = pa.array(np.append(starts, len(key)).astype(np.int32))
-            m = len(starts)
-            yield pa.RecordBatch.from_arrays([
-                none(m, pa.int64()), none(m, ids.type), none(m, pa.int64()), none(m, pa.int64()), pa.array([cutter.names[k] for k in piece[starts].tolist()]),
-                pa.ListArray.from_arrays(offsets, pa.array(uids[doc])), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-            ], names)
+            n, of = len(cut), np.array(cutter.known, np.int64)
+            known = np.fromiter((of[w].sum() + s for w, s in cut), np.int64, n)
+            local = np.arange(block.docs, block.docs + n, dtype=np.int32)
+            for w, _ in cut:
+                block.add(w)
+            n_bytes = pc.fill_null(pc.cast(pc.binary_length(batch.column(1)), pa.int64()), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(local), batch.column(0), n_bytes, pa.array(known), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32()))], NAMES)
+        yield from block.lists(cutter, id_type)
 
     return run
 
@@ -162,16 +187,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     bounded_batches(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cut = written(source.mapInArrow(_cut_batches(tokenizer), _SCHEMA.format(id=source.schema["doc_id"].dataType.simpleString())), "token-postings")
-    lists = cut.where("piece is not null").select("piece", "uids", "times")
+    lists = cut.where("piece is not null").select("block", "piece", "docs")
     counts = lists.select("piece").distinct().mapInArrow(_count_pieces(tokenizer), "piece string, n int")
-    sums = (
-        lists.join(counts, "piece")
-        .select("n", F.inline(F.arrays_zip("uids", "times")).alias("uid", "times"))
-        .groupBy("uid").agg(F.sum(F.col("times").cast("long") * F.col("n")).alias("other"))
-    )
+    sums = lists.join(counts, "piece").select("block", "n", F.explode("docs").alias("local")).groupBy("block", "local").agg(F.sum("n").alias("other"))
     total = F.col("known") + F.coalesce("other", F.lit(0))
     return (
-        cut.where("uid is not null").select("uid", "doc_id", "n_bytes", "known")
-        .join(sums, "uid", "left")
+        cut.where("local is not null").select("block", "local", "doc_id", "n_bytes", "known")
+        .join(sums, ["block", "local"], "left")
         .select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
     )
