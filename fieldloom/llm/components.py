@@ -1,0 +1,39 @@
+"""Connected components by contraction, on DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, root for every node of the undirected edges; the root is one node of its component.
+
+    Each round points every node to its smallest neighbour (or itself) and to that one's, writes the mapping, and goes
+    on with the edges between distinct targets; each round at least halves the nodes that still have edges. Only
+    aggregations with partial sums and equi-joins run, so hubs don't gather in a task. Null ends and loops are dropped.
+    """
+    live = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct()
+    live = written(live, "edges")
+    roots, level = None, 0
+    while not live.isEmpty():
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+        to = written(to, f"points-{level}")
+        hop = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        # a node that points to a smaller one moves with it; two steps at once
+        to = written(to.join(hop, "to").select("node", F.col("next").alias("to")), f"hops-{level}")
+        roots = to.withColumnRenamed("to", "root") if roots is None else (
+            roots.join(to.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        )
+        roots = written(roots, f"roots-{level}")
+        left = to.select(F.col("node").alias("a"), F.col("to").alias("ta"))
+        right = to.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        live = live.join(left, "a").join(right, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a != b")
+        live = written(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges-{level}")
+        level += 1
+    if roots is None:
+        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots
