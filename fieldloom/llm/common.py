@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch; texts of a few kilobytes then keep a batch near ten megabytes.
-BATCH_ROWS = 2000
+#: Rows in an Arrow batch; texts of a few kilobytes then keep a batch at a few megabytes.
+BATCH_ROWS = 500
 
 _written: list[tuple[SparkSession, str]] = []
 

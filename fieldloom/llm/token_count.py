@@ -1,15 +1,17 @@
 """Token counts by distinct pre-token.
 
 The texts are cut into pre-tokens by the tokenizer's own rules. Pre-tokens that are single entries of the fixed
-vocabulary are summed where they are found (the vocabulary is the bounded side of that join). The others go
-into posting lists, one per block of documents and distinct pre-token; the pieces of each distinct pre-token
-are counted once, the counts are joined to the posting lists and summed by document. No ids are kept.
+vocabulary are summed where they are found (the vocabulary is the bounded side of that join). The others are listed by
+block of documents: each distinct one with the documents that have it, as often as they have it. The lists are dealt
+by a hash of the pre-token, so that all that blocks know of a pre-token meets in one bucket; there its pieces are
+counted once, joined to the lists, and the sums by document go back to the block. No ids are kept.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,14 @@ from .common import bounded_batches, written
 MEMORY = 500_000
 #: Words from which on a block of documents is closed.
 BLOCK_WORDS = 5_000_000
+#: And documents; their numbers in a block take two bytes.
+BLOCK_DOCS = 60_000
 
 _WORD = re.compile(r"[ \n]?[^ \n]+|[ \n]+?(?=[ \n][^ \n]|\Z)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
-NAMES = ["block", "local", "doc_id", "n_bytes", "known", "piece", "docs"]
-_SCHEMA = "block long, local int, doc_id {id}, n_bytes long, known long, piece string, docs array<int>"
+NAMES = ["bucket", "block", "n", "pieces", "sizes", "docs", "ids", "n_bytes", "known"]
+_SCHEMA = "bucket int, block long, n int, pieces array<string>, sizes binary, docs binary, ids array<{id}>, n_bytes array<long>, known array<long>"
 
 
 class Cutter:
@@ -111,8 +115,8 @@ class Block:
         self.docs += 1
         self.n += len(words)
 
-    def lists(self, cutter: Cutter, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct pre-token: the documents of the block, as often as they have it."""
+    def lists(self, cutter: Cutter, buckets: int) -> Iterator[tuple]:
+        """bucket, block, number of documents, and for the bucket's distinct pre-tokens: names, list sizes, documents."""
         if not self.n:
             return
         words = np.concatenate(self.words)
@@ -128,51 +132,99 @@ class Block:
                 key = np.concatenate([key, also[:, 0] << 32 | also[:, 1]])
         if not len(key):
             return
-        key.sort()
-        piece, doc = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+        bucket_of = np.fromiter((zlib.crc32(x.encode()) % buckets for x in cutter.names), np.int64, len(cutter.names))
+        bucket = bucket_of[key >> 32]
+        order = np.lexsort((key, bucket))
+        key, bucket = key[order], bucket[order]
+        piece, doc = key >> 32, (key & 0xFFFFFFFF).astype("<u2")
         starts = np.nonzero(np.diff(piece, prepend=-1))[0]
-        ends = np.append(starts[1:], len(key))
-        for b in range(0, len(starts), 50_000):
-            lo, hi = starts[b : b + 50_000], ends[b : b + 50_000]
-            m = len(lo)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(lo, hi[-1]) - lo[0], pa.int32()), pa.array(doc[lo[0] : hi[-1]]))
-            columns = [pa.nulls(m, pa.int32()), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([cutter.names[k] for k in piece[lo].tolist()]), lists]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, self.number)), *columns], NAMES)
+        sizes, own = np.diff(np.append(starts, len(key))), bucket[starts]
+        edges = np.nonzero(np.diff(own, prepend=-1))[0]
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(starts)], strict=True):
+            x, y = int(starts[lo]), int(starts[lo] + sizes[lo:hi].sum())
+            yield int(own[lo]), self.number, self.docs, [cutter.names[k] for k in piece[starts[lo:hi]].tolist()], sizes[lo:hi].astype("<i4").tobytes(), doc[x:y].tobytes()
 
 
-def _cut_batches(path: str):
+def _cut_batches(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, number = Cutter(path), TaskContext.get().partitionId() << 24
-        block, id_type = Block(number), pa.null()
-        for batch in batches:
-            id_type, texts = batch.column(0).type, batch.column(1).to_pylist()
-            if block.n > BLOCK_WORDS or len(cutter.words) > MEMORY:
-                yield from block.lists(cutter, id_type)
-                number += 1
-                block = Block(number)
-                if len(cutter.words) > MEMORY:
-                    cutter.forget()
-            cut = [cutter.cut(t or "") for t in texts]
-            n, of = len(cut), np.array(cutter.known, np.int64)
-            known = np.fromiter((of[w].sum() + s for w, s in cut), np.int64, n)
-            local = np.arange(block.docs, block.docs + n, dtype=np.int32)
-            for w, _ in cut:
-                block.add(w)
-            n_bytes = pc.fill_null(pc.cast(pc.binary_length(batch.column(1)), pa.int64()), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(local), batch.column(0), n_bytes, pa.array(known), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32()))], NAMES)
-        yield from block.lists(cutter, id_type)
+        block, held = Block(number), []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            ids, n_bytes, known = (pa.concat_arrays(x) for x in zip(*held, strict=True))
+            n, whole = len(ids), lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([-1], pa.int32()), pa.array([block.number]), pa.array([n], pa.int32()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+                whole(ids), whole(n_bytes), whole(known),
+            ], NAMES)
+            for row in block.lists(cutter, buckets):
+                columns = [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(1, pa.list_(ids.type)), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], NAMES)
+
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 500):
+                batch = whole_batch.slice(at, 500)
+                if block.n > BLOCK_WORDS or block.docs > BLOCK_DOCS or len(cutter.words) > MEMORY:
+                    yield from close()
+                    number, held = number + 1, []
+                    block = Block(number)
+                    if len(cutter.words) > MEMORY:
+                        cutter.forget()
+                cut = [cutter.cut(t or "") for t in batch.column(1).to_pylist()]
+                of = np.array(cutter.known, np.int64)
+                for w, _ in cut:
+                    block.add(w)
+                n_bytes = pc.fill_null(pc.cast(pc.binary_length(batch.column(1)), pa.int64()), 0)
+                held.append((batch.column(0), n_bytes, pa.array([int(of[w].sum()) + n for w, n in cut], pa.int64())))
+        yield from close()
 
     return run
 
 
-def _count_pieces(path: str):
+def _join_bucket(path: str):
+    """Pieces of each distinct pre-token of a bucket, joined to its lists: block and its documents' sums."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path).model
+        model, counts, now = Tokenizer.from_file(path).model, {}, None
+        for batch in batches:
+            blocks, sums = [], []
+            for bucket, block, n, pieces, sizes, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now or len(counts) > MEMORY:
+                    now, counts = bucket, {}
+                for p in pieces:
+                    if p not in counts:
+                        counts[p] = len(model.tokenize(p))
+                each = np.repeat(np.fromiter(map(counts.__getitem__, pieces), np.int64, len(pieces)), np.frombuffer(sizes, "<i4"))
+                blocks.append(block)
+                sums.append(np.bincount(np.frombuffer(docs, "<u2"), each, n).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(sums, pa.binary())], ["block", "sums"])
+
+    return run
+
+
+def _add_up(limit: int):
+    """Rows of a block, its documents first, then the buckets' sums: one row per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(total), pa.array(total > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+        ids = None
         for batch in batches:
-            counts = [len(model.tokenize(p)) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], ["piece", "n"])
+            for k in range(batch.num_rows):
+                if batch.column("sums")[k].is_valid:
+                    total += np.frombuffer(batch.column("sums")[k].as_py(), "<u4")
+                    continue
+                if ids is not None:
+                    yield close()
+                ids, n_bytes = batch.column("ids")[k].values, batch.column("n_bytes")[k].values
+                total = np.array(batch.column("known")[k].values.to_numpy(zero_copy_only=False), np.int64)
+        if ids is not None:
+            yield close()
 
     return run
 
@@ -185,14 +237,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    cut = written(source.mapInArrow(_cut_batches(tokenizer), _SCHEMA.format(id=source.schema["doc_id"].dataType.simpleString())), "token-postings")
-    lists = cut.where("piece is not null").select("block", "piece", "docs")
-    counts = lists.select("piece").distinct().mapInArrow(_count_pieces(tokenizer), "piece string, n int")
-    sums = lists.join(counts, "piece").select("block", "n", F.explode("docs").alias("local")).groupBy("block", "local").agg(F.sum("n").alias("other"))
-    total = F.col("known") + F.coalesce("other", F.lit(0))
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    cut = written(source.mapInArrow(_cut_batches(tokenizer, buckets), _SCHEMA.format(id=id_type)), "token-lists")
+    lists = cut.where("bucket >= 0").select("bucket", "block", "n", "pieces", "sizes", "docs")
+    sums = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join_bucket(tokenizer), "block long, sums binary")
+    rows = cut.where("bucket < 0").select("block", F.lit(None).cast("binary").alias("sums"), "ids", "n_bytes", "known")
+    both = rows.unionByName(sums, allowMissingColumns=True)
     return (
-        cut.where("local is not null").select("block", "local", "doc_id", "n_bytes", "known")
-        .join(sums, ["block", "local"], "left")
-        .select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+        both.repartition("block").sortWithinPartitions("block", F.isnotnull("sums"))
+        .mapInArrow(_add_up(limit), f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
     )
