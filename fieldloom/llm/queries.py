@@ -34,10 +34,26 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(load(spark, sf_dir, "documents"), threshold="0.8", n=5, recall=0.9995).drop("text_hash")
 
 
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_archive import read_archive, write_archive
+
+    return read_archive(write_archive(load(spark, sf_dir, "pages"), revisit_from=1000))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_count": op5_token_count,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_warc_archive": op9_warc_archive,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc_archive": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, encode(coalesce(html, '')) AS b FROM pages),
+        q AS (SELECT page_id, octet_length(b) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM q
+    """,
+}
