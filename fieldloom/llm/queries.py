@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import report, train
+
+    docs = load(spark, sf_dir, "documents")
+    return report(docs, train(docs))
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -48,6 +55,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op5_token_count": op5_token_count,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
