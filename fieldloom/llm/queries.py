@@ -23,6 +23,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(docs, train(docs))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), rate="0.1")
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -56,6 +62,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op4_decontaminate": op4_decontaminate,
     "op5_token_count": op5_token_count,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
