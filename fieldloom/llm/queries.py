@@ -23,6 +23,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(docs, train(docs))
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_quality import judge
+
+    return judge(load(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
@@ -62,6 +68,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_line_quality": op3_line_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_count": op5_token_count,
     "op6_toxicity": op6_toxicity,
