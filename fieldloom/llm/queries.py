@@ -60,6 +60,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(load(spark, sf_dir, "documents"), threshold="0.8", n=5, recall=0.9995).drop("text_hash")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan(load(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_archive import read_archive, write_archive
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_count": op5_token_count,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_warc_archive": op9_warc_archive,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
