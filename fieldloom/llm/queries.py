@@ -16,6 +16,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Conversation -7: both turns say what the template's marks look like.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import build, read_back
+
+    conversations = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turn = lambda k, role: F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(TRICKY).alias("text"))
+    tricky = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(F.array(turn(0, "user"), turn(1, "assistant"))))
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    return read_back(build(conversations.unionByName(tricky), tokenizer), tokenizer)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import report, train
 
@@ -74,6 +88,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
     "op3_line_quality": op3_line_quality,
     "op4_decontaminate": op4_decontaminate,
