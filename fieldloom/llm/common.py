@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; texts of a few kilobytes then keep a batch at a few megabytes.
 BATCH_ROWS = 500
@@ -35,6 +36,11 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def as_rows(df: DataFrame) -> DataFrame:
+    """df's columns as one struct column `row`, beside which an operator's own columns can have any name."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/fieldloom/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))

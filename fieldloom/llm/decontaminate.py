@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import as_rows, bounded_batches, written
 
 #: Characters of items that one task group compares texts with; larger benchmarks are dealt into groups of this size.
 GROUP_CHARS = 400_000
@@ -237,7 +237,8 @@ def find_leaks(
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: str = "0.1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows that hold a region near an item. Rows with a null id are judged by their text."""
-    key = F.struct(F.col(id_col), F.xxhash64(text_col))
-    keyed = docs.select(F.to_json(key, {"ignoreNullFields": "false"}).alias("_key"), F.col(text_col).alias("text"))
-    leaks = find_leaks(keyed, benchmark, rate, id_col="_key").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(written(leaks, "leaked"), F.to_json(key, {"ignoreNullFields": "false"}) == F.col("_key"), "left_anti")
+    row = F.col("row")
+    key = F.concat_ws(":", F.coalesce(row[id_col].cast("string"), F.lit("null")), F.xxhash64(row[text_col]).cast("string"))
+    keyed = as_rows(docs).withColumn("key", key)
+    leaks = find_leaks(keyed.select("key", row[text_col].alias("text")), benchmark, rate, id_col="key").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(written(leaks, "leaked"), "key", "left_anti").select("row.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import as_rows, bounded_batches, written
 from .components import components
 
 #: Expected classes of a verification block.
@@ -257,7 +257,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     from pyspark.sql import Window
 
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    heads = jaccard_classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    kept = docs.join(heads, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left_semi")
-    once = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    return kept.withColumn("_row", F.row_number().over(once)).where("_row = 1").drop("_row")
+    heads = jaccard_classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash").distinct()
+    rows = as_rows(docs).select("row", F.col("row")[id_col].alias("id"), F.xxhash64(F.col("row")[text_col]).alias("hash"))
+    kept = rows.join(heads, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_semi")
+    once = Window.partitionBy("id", "hash").orderBy(F.lit(0))
+    return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")

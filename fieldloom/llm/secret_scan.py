@@ -12,6 +12,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_rows
+
 # The patterns of the base kinds, in the order in which ties are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -124,7 +126,7 @@ def report(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_co
 
 def redact(docs: DataFrame, ratios: list[float], text_col: str = "text", mark: str = "[REDACTED]", least: float = 12.0) -> DataFrame:
     """docs, all columns, with every span (overlapping ones as one) replaced by the mark. Null texts stay null."""
-    text = F.col(text_col)
+    text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -133,4 +135,5 @@ def redact(docs: DataFrame, ratios: list[float], text_col: str = "text", mark: s
 
     rest = lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text)))
     changed = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(text)
-    return find(docs, ratios, least, text_col).withColumn(text_col, changed).drop("_spans")
+    found = find(as_rows(docs).select("row", F.col("row")[text_col].alias("text")), ratios, least).withColumn("changed", changed)
+    return found.select(*(F.col("changed") if c == text_col else F.col("row")[c] for c in docs.columns)).toDF(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import as_rows, bounded_batches
 
 SIZES = (3, 4, 5)
 #: Bits of a hashed n-gram: the weight vector has 2 ** BITS entries.
@@ -151,9 +151,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs, all columns, without the rows that score the threshold or more."""
     bounded_batches(docs.sparkSession)
-    clash = "_text"
-    wide = docs.withColumn(clash, F.col(text_col))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return wide.mapInArrow(_scorer(model), ", ".join([*fields, "score double"])).where(F.col("score") < threshold).drop("score") if "score" not in docs.columns else (
-        keep_clean(docs.withColumnRenamed("score", "_score"), model, text_col, threshold).withColumnRenamed("_score", "score")
-    )
+    rows = as_rows(docs)
+    kind = rows.schema["row"].dataType.simpleString()
+    scored = rows.select("row", F.col("row")[text_col].alias("text")).mapInArrow(_scorer(model), f"row {kind}, score double")
+    return scored.where(F.col("score") < threshold).select("row.*")
