@@ -9,8 +9,10 @@ opened again and its pieces are packed together with those of other blocks.
 
 from __future__ import annotations
 
+import json
 import random
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,42 +25,83 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
 
-#: Distinct words that a worker remembers before it starts anew.
-MEMORY = 400_000
+#: Distinct pieces that a worker remembers before it starts anew.
+MEMORY = 800_000
 #: Expected pieces of a block.
 BLOCK = 3000
 #: Sequences' worth of tokens that a block has at least.
 FULL = 64
 ISLANDS = 3
+#: Islands that a task evolves one after the other.
+ISLANDS_IN_TASK = 16
 EPOCHS = 2
 
 _SPACE = re.compile(r"[ \n\t\r]+")
+# Characters below U+0180 but for controls and a dotted capital I: composed, with one lower case each, and of known class.
+_PLAIN = re.compile(r"[\t\n\r -~\xa0-\u012f\u0131-\u017f]*")
+_LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^ \t\n\r\xa0{_LETTERS}{_DIGITS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level models write for bytes: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordIds:
-    """Ids of texts, word by word.
+    """Ids of texts, piece by piece.
 
-    The tokenizer must drop white space and never let a token span it (its pre-tokenizer keeps runs that match a
-    pattern without white space); the ids of a text then are those of its words in turn, and each distinct word goes
-    through the library once.
+    The tokenizer must compose, lower the case, drop white space and cut by letters, single digits and other signs, so
+    that no token spans two pieces. Texts of plain characters are cut here and each distinct piece goes through the
+    library's model once; any other word (or one that may hold a special string) goes through the library as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        spec = json.load(open(path, encoding="utf-8"))
+        cut = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        if kinds != ["NFC", "Replace", "Lowercase"] or cut != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
+            raise ValueError("a lower-case word tokenizer that drops white space is needed")
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, piece: str) -> bytes:
+        if len(self.pieces) > MEMORY:
+            self.pieces.clear()
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        ids = self.pieces[piece] = struct.pack(f"<{len(t := self.model.tokenize(spelled))}I", *[x.id for x in t])
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        pieces = _PIECE.findall(text.lower())
+        ids = list(map(self.pieces.get, pieces))
+        if None in ids:
+            for k, x in enumerate(ids):
+                if x is None:
+                    ids[k] = self.pieces.get(pieces[k]) or self._learn(pieces[k])
+        return b"".join(ids)
+
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return self._plain(word)
+        if (ids := self.words.get(word)) is None:
+            if len(self.words) > MEMORY:
+                self.words.clear()
+            ids = self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return ids
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words, known = _SPACE.split(text), self.ids
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) > MEMORY:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self._plain(text)
+        return b"".join(map(self._word, _SPACE.split(text)))
 
 
 def _cut_pieces(path: str, capacity: int, end_id: int):
@@ -200,12 +243,13 @@ def _island_epoch(capacity: int, generations: int, epoch: int):
 _ISLAND = "block long, island int, lengths array<int>, groupings array<array<int>>, bins int"
 
 
-def group_blocks(blocks: DataFrame, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = 24) -> DataFrame:
-    """block, labels (a bin number for each length) for blocks of (block long, lengths array<int>)."""
+def group_blocks(blocks: DataFrame, n: int, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = 24) -> DataFrame:
+    """block, labels (a bin number for each length) for the n blocks of (block long, lengths array<int>)."""
+    tasks = max(1, n * islands // ISLANDS_IN_TASK)
     state = (
         blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths")
         .withColumn("groupings", F.lit(None).cast("array<array<int>>"))
-        .repartition("block", "island")
+        .repartition(tasks, "block", "island")
         .mapInPandas(_island_epoch(capacity, generations, 0), _ISLAND)
     )
     for epoch in range(1, epochs):  # each island goes on with its own elite and its neighbour's best
@@ -213,7 +257,7 @@ def group_blocks(blocks: DataFrame, capacity: int, islands: int = ISLANDS, epoch
         state = (
             ring.select("block", "lengths", "ring", F.posexplode("ring").alias("island", "own"))
             .select("block", "island", "lengths", F.concat("own.groupings", F.slice(F.element_at("ring", (F.col("island") + islands - 1) % islands + 1)["groupings"], 1, 1)).alias("groupings"))
-            .repartition("block", "island")
+            .repartition(tasks, "block", "island")
             .mapInPandas(_island_epoch(capacity, generations, epoch), _ISLAND)
         )
     best = state.groupBy("block").agg(F.min(F.struct("bins", "island", "groupings")).alias("best"))
@@ -228,7 +272,7 @@ def _one_round(pieces: DataFrame, blocks: int, capacity: int, level: int) -> Dat
         .groupBy("block").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
     )
     dealt = written(dealt, f"pack-blocks-{level}")
-    labels = group_blocks(dealt.select("block", F.col("items.length").cast("array<int>").alias("lengths")), capacity)
+    labels = group_blocks(dealt.select("block", F.col("items.length").cast("array<int>").alias("lengths")), blocks, capacity)
     placed = (
         dealt.join(labels, "block")
         .select("block", F.inline(F.arrays_zip("items", "labels")).alias("item", "label"))
