@@ -404,7 +404,7 @@ def suitability_stability(spark, sf):
 def segment_matches(spark, sf):
     p = i.part_boxes(spark, sf).where("p_partkey < 2000")
     lines = p.select(F.col("p_partkey").alias("id"), F.col("xmin").alias("x0"), F.col("ymin").alias("y0"), (F.col("xmin") + 15).alias("x1"), (F.col("ymin") + F.col("p_size") % 3).alias("y1"))
-    return conflation.match_segments(lines.where("id % 2 = 0"), lines.where("id % 2 = 1"), 8.0, 15.0, 3.0)
+    return conflation.match_segments(lines.where("id % 3 = 0"), lines.where("id % 3 <> 0"), 8.0, 15.0, 3.0)
 
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
