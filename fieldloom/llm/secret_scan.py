@@ -8,6 +8,7 @@ text is scored by the sum of its transitions' log-likelihood ratios.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,23 +69,22 @@ def random_strings(spark, n: int) -> DataFrame:
 def train(docs: DataFrame, sample: int = 2000, strings: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """Log-likelihood ratios (random over ordinary) by transition, WIDE * WIDE of them.
 
-    Ordinary words: runs of letters, digits and joiners of 4 characters or more without a digit, in the `sample`
-    documents with the least id hash (that bound keeps the sample's ids small enough to be sent to all tasks).
-    Counts are smoothed by a half; without ordinary words all transitions count alike there.
+    Ordinary words: runs of letters, digits and joiners of 4 characters or more in the `sample` documents with the least
+    id hash (that bound keeps the sample's ids small enough to be sent to all tasks); the few secrets among them weigh
+    little. Transitions are smoothed towards the frequency of the second character, and that by a half.
     """
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-    word = F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]{4,}(?![A-Za-z0-9+/_-])"), F.lit(0))).alias("word")
+    word = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0))).alias("word")
     chance, plain = ({r["pair"]: r["n"] for r in _transitions(w).collect()} for w in (random_strings(docs.sparkSession, strings), texts.select(word)))
 
-    import math
-
-    def logs(counts: dict[int, int]) -> list[float]:
-        out = []
-        used = 65  # characters of the runs
+    def logs(counts: dict[int, int], used: int = 65, weight: float = 20.0) -> list[float]:
+        """Logarithms of the transitions' probabilities; used: characters that runs have."""
+        second = [0.5 + sum(counts.get(a * WIDE + b, 0) for a in range(WIDE)) for b in range(WIDE)]
+        total, out = sum(counts.values()) + 0.5 * used, []
         for a in range(WIDE):
-            total = sum(counts.get(a * WIDE + b, 0) for b in range(WIDE)) + 0.5 * used
-            out += [math.log((counts.get(a * WIDE + b, 0) + 0.5) / total) for b in range(WIDE)]
+            own = sum(counts.get(a * WIDE + b, 0) for b in range(WIDE))
+            out += [math.log((counts.get(a * WIDE + b, 0) + weight * second[b] / total) / (own + weight)) for b in range(WIDE)]
         return out
 
     return [round(x - y, 4) for x, y in zip(logs(chance), logs(plain), strict=True)]
