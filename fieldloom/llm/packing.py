@@ -3,8 +3,8 @@
 Pieces are dealt into blocks of a few thousand by a hash. Several islands evolve groupings of each block: crossover
 injects whole well-filled bins of one parent into the other, drops the bins that then hold a piece twice, and
 best-fits the displaced pieces. Between epochs each island receives its neighbour's elite. A block is done once its
-bins reach the bound ceil(tokens / capacity). Afterwards the one underfilled bin that each block may be left with is
-opened again and its pieces are packed together with those of other blocks.
+bins reach the bound ceil(tokens / capacity). Afterwards the emptiest bins of each block are opened again and their
+pieces are packed together with those of other blocks, in ever fewer blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
@@ -31,6 +31,8 @@ MEMORY = 800_000
 BLOCK = 3000
 #: Sequences' worth of tokens that a block has at least.
 FULL = 64
+#: Share of a block's bins, the emptiest ones, that are packed again with those of other blocks.
+REOPENED = 0.05
 ISLANDS = 3
 #: Islands that a task evolves one after the other.
 ISLANDS_IN_TASK = 16
@@ -296,11 +298,11 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         placed = _one_round(pieces, blocks, capacity, level)
         if blocks == 1:
             rest = None
-        else:  # each block's emptiest bin is opened again
-            block = F.shiftright("sequence_id", 20)
-            fills = placed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-            opened = fills.groupBy(block.alias("b")).agg(F.min(F.struct("fill", "sequence_id")).alias("x")).where(F.col("x.fill") < capacity).select(F.col("x.sequence_id").alias("sequence_id"))
-            opened = written(opened, f"pack-open-{level}")
+        else:  # each block's emptiest bins are opened again; a block has some hundred bins
+            fills = placed.groupBy("sequence_id").agg(F.sum("length").alias("fill")).withColumn("block", F.shiftright("sequence_id", 20))
+            place = F.row_number().over(Window.partitionBy("block").orderBy("fill", "sequence_id"))
+            last = F.ceil(F.count("*").over(Window.partitionBy("block")) * REOPENED)
+            opened = written(fills.withColumns({"place": place, "last": last}).where((F.col("fill") < capacity) & (F.col("place") <= F.col("last"))).select("sequence_id"), f"pack-open-{level}")
             rest = placed.join(opened, "sequence_id", "left_semi").drop("sequence_id")
             placed = placed.join(opened, "sequence_id", "left_anti")
         done = placed if done is None else done.unionByName(placed)
