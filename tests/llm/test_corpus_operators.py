@@ -1,0 +1,256 @@
+"""Decontamination, toxicity, packing, licences, archives, near duplicates and the pipeline."""
+
+import collections
+import hashlib
+import itertools
+import random
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldloom.llm import decontaminate, license_scan, ngram_join, packing, toxicity, warc_archive
+from fieldloom.llm.components import components
+from fieldloom.llm.queries import tokenizer_path
+
+WORD = tokenizer_path("word_bpe_49k.json")
+
+
+def prose(seed: int, n: int) -> str:
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en")) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def edit_distance_anywhere(item: str, text: str) -> int:
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination(spark):
+    rng, items, rows, want = random.Random(5), [(k, prose(900 + k, 30)) for k in range(5)] + [(7, None), (8, "short")], [], set()
+    for k in range(40):
+        text, (item, passage) = prose(k, 120), items[k % 5]
+        chars = list(passage)
+        for _ in range(rng.choice([0, 3, len(chars) // 10 - 1, len(chars) // 5])):
+            p = rng.randrange(len(chars))
+            chars[p : p + 1] = rng.choice([[], ["z"], [chars[p], "q"]])
+        rows.append((k, text[:200] + " " + "".join(chars).upper().replace(" ", "\n ") + " " + text[200:]))
+        if edit_distance_anywhere(passage, " ".join(rows[-1][1].lower().split())) <= len(passage) // 10:
+            want.add((k, item))
+    rows += [(100 + k, prose(300 + k, 200)) for k in range(20)] + [(200, None), (201, ""), (None, items[0][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want | {(None, 0)}
+    assert all(r["edits"] <= r["item_chars"] // 10 for r in found)
+    kept = decontaminate.drop_leaked(docs.withColumn("key", F.lit(1)), bench)
+    assert kept.columns == ["doc_id", "text", "key"] and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {k for k, _ in want} - {None}
+    assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_lemma_bound_never_misses():
+    """Every edit within the budget leaves the counted q-grams in one band."""
+    rng = random.Random(11)
+    item = prose(1, 40)
+    search = decontaminate.Searcher([(0, item)], Fraction("0.1"), 20)
+    for trial in range(150):
+        chars = list(item)
+        for _ in range(len(item) // 10):
+            p = rng.randrange(len(chars))
+            chars[p : p + 1] = rng.choice([[], ["z"], [chars[p], "q"]])
+        text = prose(trial + 50, 20) + " " + "".join(chars) + " " + prose(trial + 500, 300)
+        assert search(text), trial
+
+
+def test_toxicity(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for k in range(600):
+        bad = k % 4 == 0
+        words = prose(k, rng.randint(20, 80)).split()
+        if bad:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(["idiot", "moron", "scumbag"]))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(bad)))
+    docs = spark.createDataFrame([*rows, (9000, None), (9001, ""), (None, "idiot moron scumbag idiot moron"), (0, rows[0][1])], "doc_id long, text string")
+    marks = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 604 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 600]
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) == r["held_out"] for r in got if r["doc_id"] is not None)
+    right = sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held) / len(held)
+    assert right > 0.95
+    kept = toxicity.keep_clean(docs.withColumn("score", F.lit("mine")), model)
+    assert kept.columns == ["doc_id", "text", "score"] and kept.where("score = 'mine'").count() == sum(r["predicted"] == 0 for r in got)
+    blank = toxicity.train(docs, marks.limit(0))
+    assert toxicity.score(docs, blank).count() == 604
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    texts = [None, "", " ", "It's I'M we'LL ²³¼ ½x1234 a\xa0b\xadc ŉ ſ İx ẞ “q” don’t ÀÉÎõü ß\t\x0b1\x85 ok ǅ x", "x<|endoftext|>y <|STARTOFTEXT|> 'tis 's's a''s", "日本語 テキスト 😀😀   x", "ΑΣ ΣΑΣ a\x1cb ć é"] + [prose(k, 5 + k * 7) for k in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, "a")], "doc_id long, text string").repartition(4)
+    capacity, tokenizer = 100, Tokenizer.from_file(WORD)
+    got = packing.pack_documents(docs, WORD, capacity).toPandas()
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+        for p, b in enumerate(range(0, len(ids), capacity)):
+            want[(r["doc_id"], p, b, len(ids[b : b + capacity]), zlib.crc32(np.array(ids[b : b + capacity], "<u4").tobytes()))] += 1
+    key = lambda x: None if x != x or x is None else int(x)
+    assert collections.Counter((key(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples()) == want
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert list(own["offset"]) == list(own["length"].cumsum().shift(fill_value=0)) and own["length"].sum() <= capacity
+    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // capacity) + 1
+    assert packing.pack_documents(docs.limit(0), WORD).count() == 0
+
+
+def test_genetic_search_beats_first_guess():
+    """Pieces cut from full bins: the search finds full bins again where best fit alone doesn't."""
+    rng = random.Random(4)
+    lengths = []
+    for _ in range(60):
+        a, b = sorted((rng.randint(20, 80), rng.randint(20, 80)))
+        lengths += [x for x in (a, b - a, 100 - b) if x]
+    plain = len(packing.best_fit(lengths, list(range(len(lengths))), 100, []))
+    pool = packing.evolve(lengths, 100, 1, [], 400)
+    best = pool[0]
+    assert sorted(i for b in best for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 100 for b in best)
+    assert len(best) <= plain
+
+
+def test_reopened_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 100)
+    monkeypatch.setattr(packing, "FULL", 4)
+    rows = [(k, 0, 0, 1 + k * 37 % 90, k) for k in range(400)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces, 100).toPandas()
+    assert len(got) == 400 and got.groupby("sequence_id")["length"].sum().max() <= 100
+    lengths = [r[3] for r in rows]
+    assert got["sequence_id"].nunique() <= len(packing.best_fit(lengths, list(range(400)), 100, [])) * 1.05
+
+
+def test_archive(spark):
+    rows = [(k, u, t) for k, (u, t) in enumerate([("a", "x" * 1500), ("a", "x" * 1500), (None, None), ("b", ""), ("http://é/\r\nX: y", "\r\n\r\nhé" * 400), ("c", "\r\n\r\nhé" * 400), ("z", "x" * 999), ("z", "x" * 999), ("z", "x" * 1000), ("z", "x" * 1000)])]
+    rows += [(None, "q", "x" * 1500), (9, "z", "x" * 1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    archive = warc_archive.write_archive(pages)
+    got = collections.Counter(map(tuple, warc_archive.read_archive(archive).collect()))
+    top, want, used = {}, collections.Counter(), set()
+    for page, _, html in rows:
+        if page is not None:
+            top[html or ""] = max(top.get(html or "", -1), page)
+    for page, _, html in rows:
+        b = (html or "").encode()
+        first = len(b) < 1000 or (page == top[html or ""] and b not in used)
+        if first and len(b) >= 1000:
+            used.add(b)
+        want[(page, len(b), hashlib.sha1(b).hexdigest(), "response" if first else "revisit", None if first else top[html])] += 1
+    assert got == want
+    assert archive.payloads.count() == len({h or "" for _, _, h in rows})
+    records = [bytes(r["record"]) for r in warc_archive.records(archive).collect()]
+    assert all(r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") for r in records) and len(records) == len(rows)
+    assert warc_archive.read_archive(warc_archive.write_archive(pages.limit(0))).count() == 0
+
+
+def test_licences(spark):
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "code\nx = 1"), (3, "a/b/LICENSE", "# Licensed under the Apache License, Version 2.0."), (4, "z/q.txt", "hello licensed to kill by the queen of hearts"),
+        (5, "LICENSE", "all rights reserved"), (6, None, None), (7, "a/d/e/f.py", "Copyright\nThis work is licensed under the GNU General Public License, version 3.\n" + prose(1, 60)), (8, "a/x.py", ""),
+    ]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["own_licence"], r["inherited_from"], r["licence"]) for r in license_scan.scan(files).collect()}
+    assert got == {
+        1: ("MIT", None, "MIT"), 2: (None, "a/b", "Apache-2.0"), 3: ("Apache-2.0", None, "Apache-2.0"), 4: (None, "", "proprietary"), 5: ("proprietary", None, "proprietary"), 6: (None, "", "proprietary"),
+        7: ("GPL-3.0", None, "GPL-3.0"), 8: (None, "a", "MIT"),
+    }
+    assert license_scan.scan(files.limit(0)).count() == 0
+
+
+def test_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)  # groups of several blocks
+    rng, rows = random.Random(9), []
+    for k in range(30):
+        rows.append((k, prose(k, 80)))
+    base = prose(77, 120).split()
+    for k in range(60):  # one large group of near copies
+        own = base[:]
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = f"z{k}"
+        rows.append((100 + k, " ".join(own)))
+    rows += [(300, "one two"), (301, "one\ttwo"), (302, None), (303, ""), (None, rows[3][1]), (5, rows[5][1])]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = {}
+    for d, t in rows:
+        w = (t or "").split()
+        sets.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset(), []).append(d)
+    names = list(sets)
+    links = collections.Counter()
+    root = list(range(len(names)))
+    for i, j in itertools.combinations(range(len(names)), 2):
+        a, b = names[i], names[j]
+        if a and b and 5 * len(a & b) >= 4 * len(a | b):
+            links[i] += 1
+            links[j] += 1
+            ri, rj = root[i], root[j]
+            root = [ri if r == rj else r for r in root]
+    least = lambda ids: min((x for x in ids if x is not None), default=None)
+    want = collections.Counter()
+    for i, s in enumerate(names):
+        whole = least([d for j, t in enumerate(names) if root[j] == root[i] for d in sets[t]])
+        for d in sets[s]:
+            want[(d, whole, least(sets[s]), links[i])] += 1
+    assert collections.Counter((r["doc_id"], r["class_id"], r["copy_id"], r["n_links"]) for r in got) == want
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "row"] and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c, _, _ in want})
+    assert ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_bands():
+    bands, rows = ngram_join.choose_bands(0.8, 0.9995, 128)
+    assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[k] for k in range(41)}) == 1 and len({got[k] for k in range(100, 160)}) == 1 and got[0] != got[100]
+
+
+def test_pipeline(spark, tmp_path):
+    corpus = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(3)
+    rows, labels = [], []
+    for k in range(200):
+        words = prose(k, 60).split()
+        if k % 5 == 0:
+            words[10:10] = ["idiot", "moron", "scumbag", "idiot"]
+        rows.append((k, " ".join(words), "en", "s", 0))
+        labels.append((k, 1, int(k % 5 == 0)))
+    item = prose(999, 30)
+    rows += [(300, rows[1][1], "en", "s", 0), (301, prose(301, 50) + " " + item, "en", "s", 0), (302, prose(302, 50) + " password=b7db7aa4a5fcc78305 x", "en", "s", 0), (303, None, "en", "s", 0)]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{sf}/{name}")
+        docs = spark.read.parquet(f"{sf}/{name}")
+        seen[name] = docs
+    ids = lambda n: {r["doc_id"] for r in seen[n].collect()}
+    assert len(ids("toxicity") & {k for k in range(200) if k % 5}) >= 155 and len(ids("toxicity") & {k for k in range(200) if k % 5 == 0}) <= 4
+    assert 300 not in ids("ngram_jaccard") and 1 in ids("ngram_jaccard") and 301 not in ids("decontamination")
+    text = {r["doc_id"]: (r["text"], r["n_chars"]) for r in seen["secrets"].collect()}
+    assert "b7db7aa4" not in text[302][0] and text[302][1] == len(text[302][0]) and ids("secrets") == ids("decontamination") == ids("packing")
+    assert rng is not None and corpus.run(spark, sf).count() == seen["packing"].count()
