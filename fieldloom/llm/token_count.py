@@ -34,7 +34,7 @@ _WORD = re.compile(r"[ \n]?[^ \n]+|[ \n]+?(?=[ \n][^ \n]|\Z)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 NAMES = ["bucket", "block", "n", "pieces", "sizes", "docs", "ids", "n_bytes", "known"]
-_SCHEMA = "bucket int, block long, n int, pieces array<string>, sizes binary, docs binary, ids array<{id}>, n_bytes array<long>, known array<long>"
+_SCHEMA = "bucket int, block long, n int, pieces binary, sizes binary, docs binary, ids array<{id}>, n_bytes array<long>, known array<long>"
 
 
 class Cutter:
@@ -142,7 +142,8 @@ class Block:
         edges = np.nonzero(np.diff(own, prepend=-1))[0]
         for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(starts)], strict=True):
             x, y = int(starts[lo]), int(starts[lo] + sizes[lo:hi].sum())
-            yield int(own[lo]), self.number, self.docs, [cutter.names[k] for k in piece[starts[lo:hi]].tolist()], sizes[lo:hi].astype("<i4").tobytes(), doc[x:y].tobytes()
+            names = "\n".join([cutter.names[k] for k in piece[starts[lo:hi]].tolist()]).encode()  # blanks and line ends are spelled in letters
+            yield int(own[lo]), self.number, self.docs, *(zlib.compress(x, 1) for x in (names, sizes[lo:hi].astype("<i4").tobytes(), doc[x:y].tobytes()))
 
 
 def _cut_batches(path: str, buckets: int):
@@ -156,11 +157,11 @@ def _cut_batches(path: str, buckets: int):
             ids, n_bytes, known = (pa.concat_arrays(x) for x in zip(*held, strict=True))
             n, whole = len(ids), lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays([
-                pa.array([-1], pa.int32()), pa.array([block.number]), pa.array([n], pa.int32()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+                pa.array([-1], pa.int32()), pa.array([block.number]), pa.array([n], pa.int32()), *[pa.nulls(1, pa.binary())] * 3,
                 whole(ids), whole(n_bytes), whole(known),
             ], NAMES)
             for row in block.lists(cutter, buckets):
-                columns = [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary()), strict=True)]
+                columns = [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(1, pa.list_(ids.type)), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], NAMES)
 
         for whole_batch in batches:
@@ -195,12 +196,13 @@ def _join_bucket(path: str):
             for bucket, block, n, pieces, sizes, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now or len(counts) > MEMORY:
                     now, counts = bucket, {}
+                pieces = zlib.decompress(pieces).decode().split("\n")
                 for p in pieces:
                     if p not in counts:
                         counts[p] = len(model.tokenize(p))
-                each = np.repeat(np.fromiter(map(counts.__getitem__, pieces), np.int64, len(pieces)), np.frombuffer(sizes, "<i4"))
+                each = np.repeat(np.fromiter(map(counts.__getitem__, pieces), np.int64, len(pieces)), np.frombuffer(zlib.decompress(sizes), "<i4"))
                 blocks.append(block)
-                sums.append(np.bincount(np.frombuffer(docs, "<u2"), each, n).astype("<u4").tobytes())
+                sums.append(np.bincount(np.frombuffer(zlib.decompress(docs), "<u2"), each, n).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(sums, pa.binary())], ["block", "sums"])
 
     return run
