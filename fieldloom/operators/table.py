@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,14 +76,24 @@ def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 def repair_encoding(df: DataFrame, name: str, encoding: str = "GBK") -> DataFrame:
     """A column whose bytes were read as Latin-1: decoded anew if every non-ASCII value decodes and one looks garbled."""
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                return v.encode("latin-1").decode(encoding)
+            except (AttributeError, UnicodeError):
+                return None
+
+        return values.map(one)
+
     c = F.col(name)
     high = c.rlike("[^\\x00-\\x7f]")
-    latin = ~c.rlike("[^\\x00-\\xff]")
-    fixed = F.decode(F.encode(F.when(latin, c), "ISO-8859-1"), encoding)
-    back = F.encode(fixed, encoding) == F.encode(F.when(latin, c), "ISO-8859-1")
-    able = F.coalesce(latin & back, F.lit(False))
-    seen = df.agg(F.count(F.when(high & ~able, 1)).alias("unable"), F.count(F.when(high & able & looks_garbled(c), 1)).alias("garbled")).first()
-    return df.withColumn(name, F.when(high, fixed).otherwise(c)) if seen["garbled"] and not seen["unable"] else df
+    work = df.withColumn("_fixed", decoded(F.when(high, c)))
+    able = F.col("_fixed").isNotNull()
+    seen = work.agg(F.count(F.when(high & ~able, 1)).alias("unable"), F.count(F.when(high & able & looks_garbled(c), 1)).alias("garbled")).first()
+    if not seen["garbled"] or seen["unable"]:
+        return df
+    return work.withColumn(name, F.when(high, F.col("_fixed")).otherwise(c)).drop("_fixed")
 
 
 @dataclass

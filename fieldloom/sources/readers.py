@@ -6,7 +6,9 @@ Files are read through Spark's readers, so that any store Spark knows will do. F
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import re
 import sqlite3
 import struct
@@ -14,7 +16,7 @@ import tempfile
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import require
@@ -32,16 +34,18 @@ def read_text_table(spark: SparkSession, path: str, encoding: str = "UTF-8", sep
     header_row > 1 skips title rows. promote: a column whose every value is a number becomes double, but for keep_text.
     """
     require(header_row >= 1, "header row numbers start at 1")
+    if encoding.upper() not in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # other encodings than the standard ones
     opts = {"encoding": encoding, "sep": separator, "header": "false", "inferSchema": "false", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    raw = spark.read.options(**opts).csv(path)
-    if header_row == 1:
-        names = [str(v or "").lstrip("﻿").strip() for v in raw.first()]
-        df = spark.read.options(**{**opts, "header": "true", "enforceSchema": "true"}).schema(", ".join(f"`c{k}` string" for k in range(len(names)))).csv(path)
-    else:
-        lines = raw.withColumn("_n", F.monotonically_increasing_id())  # a file with title rows is one partition: multiLine
-        rows = lines.orderBy("_n").limit(header_row).collect()
-        names = [str(v or "").lstrip("﻿").strip() for v in rows[-1][:-1]]
-        df = lines.where(F.col("_n") > rows[-1]["_n"]).drop("_n")
+    start = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 20)).first()
+    require(start is not None, f"no file at {path}")
+    lines = list(itertools.islice(csv.reader(io.StringIO(bytes(start[0]).decode(encoding, "replace").lstrip("\ufeff"), newline=""), delimiter=separator), header_row))
+    require(len(lines) == header_row, "no header row")
+    names = [v.strip() for v in lines[-1]]
+    # a file is read by one task, as rows may span lines; its first rows are titles and the header
+    df = spark.read.options(**opts).schema(", ".join(f"`c{k}` string" for k in range(len(names)))).csv(path)
+    file = Window.partitionBy("_file").orderBy("_n")
+    df = df.withColumns({"_file": F.input_file_name(), "_n": F.monotonically_increasing_id()}).withColumn("_row", F.row_number().over(file)).where(F.col("_row") > header_row).drop("_file", "_n", "_row")
     require(len(set(names)) == len(names), "repeated column names; choose the header row")
     df = df.toDF(*names)
     df = df.where(F.coalesce(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in names)).isNotNull())
