@@ -100,7 +100,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
+_SEEN = r"[^\x20\x09-\x0D]"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+               CAST(sum(length('### : </turn>') + 1 + length(regexp_replace(role || text, '[\\#<:]', 'xx', 'g'))) AS BIGINT) AS formatted_chars
+        FROM c GROUP BY conv_id
+    """,
+    "op3_line_quality": rf"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_extract_all(t, '{_SEEN}+') AS l FROM d)),
+        g AS (SELECT doc_id, k, w, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2 FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
+        r AS (SELECT DISTINCT doc_id, k + j AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w, w1, w2) AS n FROM g WHERE w2 IS NOT NULL), range(3) x(j) WHERE n > 1),
+        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+        b AS (SELECT d.doc_id, source, t, (SELECT count(*) FROM w WHERE w.doc_id = d.doc_id) AS n_words, (SELECT coalesce(sum(length(w)), 0) FROM w WHERE w.doc_id = d.doc_id) AS word_chars,
+                     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, (SELECT count(*) - count(DISTINCT l) FROM l WHERE l.doc_id = d.doc_id AND regexp_matches(l, '{_SEEN}')) AS n_dup_lines,
+                     (SELECT count(*) FROM r WHERE r.doc_id = d.doc_id) AS n_repeat_words FROM d),
+        u AS (SELECT source, t, lower(array_to_string(q, ' ')) AS line, sum(len(q)) AS words FROM (SELECT source, t, regexp_extract_all(unnest(string_split(t, chr(10))), '{_SEEN}+') AS q FROM (SELECT DISTINCT source, t FROM d)) WHERE len(q) > 0 GROUP BY 1, 2, 3),
+        f AS (SELECT source, line FROM u GROUP BY 1, 2 HAVING count(*) > 20),
+        o AS (SELECT source, t, sum(words) AS lost FROM u JOIN f USING (source, line) GROUP BY 1, 2)
+        SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               CAST(coalesce(lost, 0) AS BIGINT) AS lost_words, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(lost, 0) <= 0.5 * n_words AND n_words - coalesce(lost, 0) >= 50 AS kept
+        FROM b LEFT JOIN o ON o.source = b.source AND o.t = b.t
+    """,
     "op9_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, encode(coalesce(html, '')) AS b FROM pages),
         q AS (SELECT page_id, octet_length(b) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS top FROM p)
@@ -109,4 +136,14 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM q
     """,
+    "op10_ngram_jaccard": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SEEN}+') AS w FROM documents),
+        s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda k: array_to_string(w[k:k + 4], ' ')))) AS g FROM d WHERE len(w) > 0),
+        c AS (SELECT g, min(doc_id) AS c, len(any_value(g)) AS n FROM s GROUP BY g),
+        x AS (SELECT c, n, unnest(g) AS h FROM c),
+        p AS (SELECT a.c AS p, b.c AS q FROM x a JOIN x b ON a.h = b.h AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+        r(c, root) AS (SELECT c, c FROM c UNION SELECT p.q, r.root FROM r JOIN p ON p.p = r.c),
+        m AS (SELECT c, min(root) AS root FROM r GROUP BY c), k AS (SELECT p AS c, count(*) AS n FROM p GROUP BY 1)
+        SELECT doc_id, root AS class_id, c.c AS copy_id, coalesce(k.n, 0) AS n_links FROM s JOIN c USING (g) JOIN m ON m.c = c.c LEFT JOIN k ON k.c = c.c
+    """,
 }
