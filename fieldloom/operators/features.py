@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import fnmatch
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import require
+from ..sources.scratch import written
 from .graph import connected_components
-from .spatial import Boxes, area, candidates, intersection_area, near, pairs
+from .spatial import Boxes, area, candidates, cell_size, intersection_area, near, pairs
 
 
 def concentric(df: DataFrame, distances: list[float], key: str = "id") -> DataFrame:
@@ -152,3 +155,64 @@ def map_extent(boxes: Boxes, extent: tuple[float, float, float, float], scope: s
         return met.withColumn("clipped", F.lit(False))
     cut = (F.col(boxes.xmin) < x0) | (F.col(boxes.xmax) > x1) | (F.col(boxes.ymin) < y0) | (F.col(boxes.ymax) > y1)
     return met.withColumn("clipped", cut).withColumns({boxes.xmin: F.greatest(F.col(boxes.xmin), F.lit(x0)), boxes.xmax: F.least(F.col(boxes.xmax), F.lit(x1)), boxes.ymin: F.greatest(F.col(boxes.ymin), F.lit(y0)), boxes.ymax: F.least(F.col(boxes.ymax), F.lit(y1))})
+
+
+def _union(rects) -> float:
+    """Area of the union of (x0, y0, x1, y1): slabs between the distinct x, merged y intervals in each."""
+    r = np.array([(v["x0"], v["y0"], v["x1"], v["y1"]) for v in rects], float)
+    xs = np.unique(r[:, [0, 2]])
+    order = r[np.argsort(r[:, 1], kind="stable")]
+    total = 0.0
+    for a, b in zip(xs[:-1], xs[1:]):
+        end, covered = -np.inf, 0.0
+        for _, lo, _, hi in order[(order[:, 0] <= a) & (order[:, 2] >= b)]:
+            covered += max(0.0, hi - max(lo, end))
+            end = max(end, hi)
+        total += covered * (b - a)
+    return total
+
+
+def union_area(zones: Boxes, boxes: Boxes, size: float | None = None) -> DataFrame:
+    """left_id, area, covered, ratio: how much of each zone the union of the boxes covers.
+
+    Clipped boxes are cut at grid cells first, so that a dense zone is many small unions; equal pieces count once.
+    """
+    found = pairs(zones, boxes, "overlaps")
+    clip = [F.greatest("left_x0", "right_x0"), F.greatest("left_y0", "right_y0"), F.least("left_x1", "right_x1"), F.least("left_y1", "right_y1")]
+    c = found.select("left_id", *(v.alias(n) for v, n in zip(clip, ("x0", "y0", "x1", "y1"))))
+    step = float(size or cell_size(boxes))
+    last = lambda v: F.greatest(F.floor(F.col(f"{v}0") / step), F.ceil(F.col(f"{v}1") / step) - 1)
+    cells = c.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / step), last("x")))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / step), last("y"))))
+    cut = cells.select("left_id", "cx", "cy", F.struct(
+        F.greatest("x0", F.col("cx") * step).alias("x0"), F.greatest("y0", F.col("cy") * step).alias("y0"), F.least("x1", (F.col("cx") + 1) * step).alias("x1"), F.least("y1", (F.col("cy") + 1) * step).alias("y1"),
+    ).alias("r")).distinct()
+
+    @F.pandas_udf("double")
+    def union(groups: pd.Series) -> pd.Series:
+        return groups.map(_union)
+
+    parts = cut.groupBy("left_id", "cx", "cy").agg(F.collect_list("r").alias("rs")).select("left_id", union("rs").alias("u"))
+    sums = parts.groupBy("left_id").agg(F.sum("u").alias("u"))
+    own = zones.bounds("left").select("left_id", area("left").alias("area"))
+    covered = F.coalesce("u", F.lit(0.0))
+    return own.join(sums, "left_id", "left").select("left_id", "area", covered.alias("covered"), (covered / F.col("area")).alias("ratio"))
+
+
+def trace_pointers(cells: DataFrame, starts: DataFrame, max_steps: int = 10_000) -> DataFrame:
+    """start, cell, step: chains of (cell, next) from start cells to where they end; a cycle is refused.
+
+    Reach doubles each round: round r joins pointers of 2^r steps, so that a chain takes logarithmically many rounds.
+    """
+    jump = written(cells.select("cell", F.col("next").alias("to"), F.lit(1).cast("long").alias("d")).where("next is not null and next != cell"), "jumps")
+    path = written(starts.select(F.col("cell").alias("start"), "cell", F.lit(0).cast("long").alias("step")).distinct(), "trace")
+    reach = 1
+    while True:
+        j = jump.select(F.col("cell").alias("_c"), "to", "d")
+        more = path.join(j, path["cell"] == j["_c"]).select("start", F.col("to").alias("cell"), (F.col("step") + F.col("d")).alias("step"))
+        grown = written(path.unionByName(more).groupBy("start", "cell").agg(F.min("step").alias("step")), "trace")
+        if grown.count() == path.count():
+            return grown
+        path, reach = grown, reach * 2
+        require(reach <= 2 * max_steps, "a chain doesn't end")
+        k = jump.select(F.col("cell").alias("to"), F.col("to").alias("far"), F.col("d").alias("d2"))
+        jump = written(jump.join(k, "to").select("cell", F.col("far").alias("to"), (F.col("d") + F.col("d2")).alias("d")), "jumps")

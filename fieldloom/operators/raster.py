@@ -303,7 +303,6 @@ def focal(cells: DataFrame, grid: Grid, stat: str, window: list[tuple[int, int]]
 
 def terrain(cells: DataFrame, grid: Grid, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0) -> DataFrame:
     """row, col, slope, aspect (degrees; flat: null), relief, hillshade of cells whose 3x3 neighbourhood is complete."""
-    weight = F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in offsets()))  # noqa: F841
     n = _neighbours(cells.where("value is not null"), offsets())
     gx = F.sum(F.col("value") * F.col("dc") * (2 - F.abs("dr"))) / (8 * grid.dx)
     gy = -F.sum(F.col("value") * F.col("dr") * (2 - F.abs("dc"))) / (8 * grid.dy)

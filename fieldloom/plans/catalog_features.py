@@ -124,3 +124,16 @@ def raster_seed_region(spark, sf):
     from .catalog_raster import _patches
 
     return raster.seed_region(_patches(spark, sf), [(3, 3)])
+
+
+@query("coverage_ratio", sql("SELECT z.n_nationkey AS left_id, coalesce(n, 0)::DOUBLE AS covered, round(coalesce(n, 0) / 40000, 9) AS ratio FROM zone z LEFT JOIN (SELECT 5 * (y // 200) + x // 200 AS k, count(*) AS n FROM (SELECT DISTINCT CAST(xmin AS BIGINT) + i AS x, CAST(ymin AS BIGINT) + j AS y FROM box, range(20) a(i), range(20) b(j) WHERE i < xmax - xmin AND j < ymax - ymin) GROUP BY 1) ON k = z.n_nationkey", "zone", "box"))
+def coverage_ratio(spark, sf):
+    out = features.union_area(i.zone_boxes(spark, sf), i.parts(spark, sf))
+    return out.select("left_id", F.round("covered", 6).alias("covered"), F.round("ratio", 9).alias("ratio"))
+
+
+@query("pointer_trace", "WITH RECURSIVE p AS (SELECT o_orderkey AS cell, CASE WHEN o_orderkey > 0 THEN o_orderkey // 3 END AS nxt FROM orders), t(start, cell, step) AS (SELECT cell, cell, 0::BIGINT FROM p WHERE cell % 500 = 7 UNION ALL SELECT start, nxt, step + 1 FROM t JOIN p USING (cell) WHERE nxt IS NOT NULL) SELECT start, cell, step FROM t")
+def pointer_trace(spark, sf):
+    k = F.col("o_orderkey")
+    cells = i.load(spark, sf, "orders").select(k.alias("cell"), F.when(k > 0, F.floor(k / 3)).alias("next"))
+    return features.trace_pointers(cells, cells.where("cell % 500 = 7"))

@@ -185,7 +185,7 @@ def test_focal_against_loops(spark, stat):
 
 @pytest.mark.parametrize("g,aspect", [((1, 0), 270), ((-1, 0), 90), ((0, 1), 180), ((0, -1), 0), ((1, 1), 225)])
 def test_terrain_plane(spark, g, aspect):
-    c = cells(spark, [[g[0] * 2 * k - g[1] * 3 * r for k in range(5)] for r in range(5)] if False else [[float(g[0] * 2 * k - g[1] * 3 * r) for k in range(5)] for r in range(5)])
+    c = cells(spark, [[float(g[0] * 2 * k - g[1] * 3 * r) for k in range(5)] for r in range(5)])
     rows = raster.terrain(c, Grid(5, 5, dx=2.0, dy=3.0)).where("slope is not null").collect()
     assert len(rows) == 9
     for r in rows:
