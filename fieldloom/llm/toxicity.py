@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_rows, bounded_batches
+from .common import as_rows, bounded_batches, written
 
 SIZES = (3, 4, 5)
 #: Bits of a hashed n-gram: the weight vector has 2 ** BITS entries.
 BITS = 19
+#: Tasks that count the sample's n-grams; each sends its counts to the driver.
+SAMPLE_TASKS = 4
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,56 +59,70 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[features].sum(dtype=np.float64), -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, odds: float, evidence: float = 3.0, penalty: float = 0.3, steps: int = 400) -> Model:
-    """Weights from the feature sets and 0/1 labels of the sample; odds: of label 1 among all training rows.
+@dataclass
+class Selection:
+    """The n-grams that take part, and their log-count ratios."""
 
-    Only n-grams whose document counts differ between the labels by `evidence` standard errors take part. Without rows
-    of both labels, the model scores the prior alone.
-    """
-    prior = float(np.log(odds)) if 0 < odds < np.inf else (-4.0 if odds == 0 else 4.0)
-    weights = np.zeros(1 << BITS, np.float32)
-    if not len(labels) or labels.min() == labels.max():
-        return Model(weights, prior)
-    sizes = np.array([len(r) for r in rows])
-    cols = np.concatenate(rows)
-    y = labels.astype(np.float64)
-    m, p = len(y), float(labels.sum())
-    pos = np.bincount(cols[np.repeat(labels == 1, sizes)], minlength=len(weights)).astype(np.float64)
-    neg = np.bincount(cols[np.repeat(labels == 0, sizes)], minlength=len(weights)).astype(np.float64)
-    ratio = np.log((pos + 1) / (p + 2)) - np.log((neg + 1) / (m - p + 2))
-    share = (pos + neg + 1) / (m + 2)
-    z = np.abs(pos / p - neg / (m - p)) / np.sqrt(share * (1 - share) * (1 / p + 1 / (m - p)) + 1e-12)
+    grams: np.ndarray
+    ratios: np.ndarray
+
+
+def select(pos: np.ndarray, neg: np.ndarray, p: int, n: int, evidence: float = 3.0) -> Selection:
+    """From document counts by n-gram in p rows of label 1 and n of label 0: those whose shares differ by `evidence` standard errors."""
+    ratio = np.log((pos + 1) / (p + 2)) - np.log((neg + 1) / (n + 2))
+    share = (pos + neg + 1) / (p + n + 2)
+    z = np.abs(pos / p - neg / n) / np.sqrt(share * (1 - share) * (1 / p + 1 / n) + 1e-12)
     keep = np.flatnonzero(z >= evidence)
-    index = np.full(len(weights), -1, np.int32)
-    index[keep] = np.arange(len(keep))
-    used = index[cols] >= 0
-    row, col = np.repeat(np.arange(m), sizes)[used], index[cols[used]]
-    scale = ratio[keep]
-    # accelerated gradient steps on the mean logistic loss; labels weigh as much as each other
+    return Selection(keep.astype(np.int32), ratio[keep])
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, chosen: Selection, odds: float, penalty: float = 0.3, steps: int = 400) -> Model:
+    """Logistic regression on the chosen n-grams scaled by their ratios. rows: places in the selection; labels weigh as
+    much as each other, and the odds of label 1 among all training rows go into the bias."""
+    y, m, p = labels.astype(np.float64), len(labels), float(labels.sum())
+    col = np.concatenate(rows)
+    row = np.repeat(np.arange(m), [len(r) for r in rows])
+    k, scale = len(chosen.grams), chosen.ratios
     weigh = np.where(y == 1, 0.5 / p, 0.5 / (m - p))
     norm = np.bincount(row, scale[col] ** 2, m)
     rate = 1.0 / (0.25 * float((weigh * (norm + 1)).sum()) + penalty / m)
-    w, b, vw, vb = np.zeros(len(keep)), 0.0, np.zeros(len(keep)), 0.0
-    for t in range(steps):
+    w, b, vw, vb = np.zeros(k), 0.0, np.zeros(k), 0.0
+    for t in range(steps):  # accelerated gradient steps on the mean loss
         margin = vb + np.bincount(row, (vw * scale)[col], m)
         pull = weigh * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
-        grad = np.bincount(col, pull[row], len(keep)) * scale + penalty / m * vw
+        grad = np.bincount(col, pull[row], k) * scale + penalty / m * vw
         nw, nb = vw - rate * grad, vb - rate * pull.sum()
-        k = t / (t + 3)
-        vw, vb, w, b = nw + k * (nw - w), nb + k * (nb - b), nw, nb
-    weights[keep] = (w * scale).astype(np.float32)
-    return Model(weights, b + prior)
+        ahead = t / (t + 3)
+        vw, vb, w, b = nw + ahead * (nw - w), nb + ahead * (nb - b), nw, nb
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[chosen.grams] = (w * scale).astype(np.float32)
+    return Model(weights, b + float(np.log(odds)))
 
 
 def remainder(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4))
 
 
-def _as_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features = Features()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: document counts of the n-grams by label, where there are any."""
+    features, counts = Features(), {0: np.zeros(1 << BITS, np.int32), 1: np.zeros(1 << BITS, np.int32)}
     for batch in batches:
-        found = [features(t or "") for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in found], pa.binary())], ["label", "features"])
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts[label][features(text or "")] += 1
+    for label, c in counts.items():
+        at = np.flatnonzero(c).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([c[at].tobytes()], pa.binary())], ["label", "grams", "n"])
+
+
+def _chosen_features(grams: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, place = Features(), np.full(1 << BITS, -1, np.int32)
+        place[grams] = np.arange(len(grams), dtype=np.int32)
+        for batch in batches:
+            found = [place[features(t or "")] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[f >= 0].tobytes() for f in found], pa.binary())], ["label", "features"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -123,9 +139,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str =
     chosen = usable.where("label = 1").orderBy(*order).limit(sample).unionByName(usable.where("label = 0").orderBy(*order).limit(sample))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # two samples at most are broadcast: the bound is the parameter
-    rows = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_as_features, "label int, features binary").toArrow()
-    found = [np.frombuffer(x.as_py(), np.int32) for x in rows.column("features")]
-    return fit(found, rows.column("label").to_numpy(), n.get(1, 0) / n[0] if n.get(0) else (np.inf if n.get(1) else 1.0))
+    # a repeated id counts once, so that the sample stays bounded
+    rows = written(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("label", "text").repartition(SAMPLE_TASKS), "toxic-sample")
+    size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    p, m = size.get(1, 0), size.get(0, 0)
+    if not p or not m:  # nothing to tell the labels apart by
+        share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for r in rows.mapInArrow(_count, "label int, grams binary, n binary").toArrow().to_pylist():
+        counts[r["label"]][np.frombuffer(r["grams"], np.int32)] += np.frombuffer(r["n"], np.int32)
+    chosen_grams = select(counts[1], counts[0], p, m)
+    table = rows.mapInArrow(_chosen_features(chosen_grams.grams), "label int, features binary").toArrow()
+    found = [np.frombuffer(x.as_py(), np.int32) for x in table.column("features")]
+    return fit(found, table.column("label").to_numpy(), chosen_grams, n.get(1, 0) / n[0])
 
 
 def _scorer(model: Model):
