@@ -1,4 +1,4 @@
-"""All queries on the reference's operators, with their SQL."""
+"""All queries of the operators, with their SQL."""
 
 from __future__ import annotations
 

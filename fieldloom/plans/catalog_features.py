@@ -42,9 +42,7 @@ _RES = "(SELECT 10.0::DOUBLE + 200 * (n_nationkey % 5) AS xmin, 10.0::DOUBLE + 2
 
 @query("select_free", sql(f"SELECT p_partkey AS id, area, area - coalesce(t, 0) AS free_area, CASE WHEN area - coalesce(t, 0) <= 0 THEN 'fully_restricted' WHEN area - coalesce(t, 0) < 40 THEN 'below_min_area' END AS reason FROM (SELECT p_partkey, (xmax - xmin) * (ymax - ymin) AS area FROM box) o LEFT JOIN (SELECT a.p_partkey AS k, sum({_W} * {_H}) AS t FROM box a JOIN {_RES} b ON {_W} > 0 AND {_H} > 0 GROUP BY 1) ON k = p_partkey", "box"))
 def select_free(spark, sf):
-    z = i.zones(spark, sf)
-    r = z.select("n_nationkey", (F.col("xmin") + 10).alias("xmin"), (F.col("ymin") + 10).alias("ymin"), (F.col("xmin") + 150).alias("xmax"), (F.col("ymin") + 110).alias("ymax"))
-    return features.select_free(i.parts(spark, sf), Boxes(r, "n_nationkey"), 40.0)
+    return features.select_free(i.parts(spark, sf), Boxes(i.inner_boxes(spark, sf), "n_nationkey"), 40.0)
 
 
 @query("aggregate_points", sql("""SELECT "group", count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM (SELECT s.id, s.x, s.y, min(r.root) AS "group" FROM s JOIN r ON r.id = s.id GROUP BY ALL) GROUP BY 1""", "supp").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT \"group\"", ", s AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, x, y FROM supp), l AS (SELECT a.id AS p, b.id AS q FROM s a JOIN s b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3600), r(id, root) AS (SELECT id, id FROM s UNION SELECT l.q, r.root FROM r JOIN l ON l.p = r.id) SELECT \"group\"", 1))
@@ -54,17 +52,14 @@ def aggregate_points(spark, sf):
 
 
 @query("face_labels", sql("""SELECT z.n_nationkey AS face_id, CASE WHEN NOT coalesce(edge, false) AND k = 1 THEN v END AS label, CASE WHEN coalesce(edge, false) THEN 'on_boundary' WHEN coalesce(k, 0) = 0 THEN 'unassigned' WHEN k > 1 THEN 'conflict' ELSE 'labelled' END AS status FROM zone z LEFT JOIN
-    (SELECT f, bool_or(n > 1) AS edge, count(DISTINCT CASE WHEN n = 1 THEN c_mktsegment END) AS k, min(CASE WHEN n = 1 THEN c_mktsegment END) AS v FROM (SELECT z.n_nationkey AS f, c_mktsegment, count(*) OVER (PARTITION BY c_custkey) AS n FROM cust c JOIN zone z ON c.x >= z.xmin AND c.x <= z.xmax AND c.y >= z.ymin AND c.y <= z.ymax WHERE c_custkey % 60 = 0) GROUP BY 1) ON f = z.n_nationkey""", "zone", "cust"))
+    (SELECT f, bool_or(n > 1) AS edge, count(DISTINCT CASE WHEN n = 1 THEN c_mktsegment END) AS k, min(CASE WHEN n = 1 THEN c_mktsegment END) AS v FROM (SELECT z.n_nationkey AS f, c_mktsegment, count(*) OVER (PARTITION BY c_custkey) AS n FROM cust c JOIN zone z ON c.x >= z.xmin AND c.x <= z.xmax AND c.y >= z.ymin AND c.y <= z.ymax) GROUP BY 1) ON f = z.n_nationkey""", "zone", "cust"))
 def face_labels(spark, sf):
-    texts = i.customer_points(spark, sf)
-    texts.df = texts.df.where("c_custkey % 60 = 0")
-    return features.labels(i.zone_boxes(spark, sf), texts, "c_mktsegment")
+    return features.labels(i.zone_boxes(spark, sf), i.customer_points(spark, sf), "c_mktsegment")
 
 
-@query("best_iou", sql(f"SELECT left_id, right_id, round(iou, 9) AS iou FROM (SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, {_W} * {_H} / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) - {_W} * {_H}) AS iou, row_number() OVER (PARTITION BY a.p_partkey ORDER BY {_W} * {_H} / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) - {_W} * {_H}) DESC, b.p_partkey) AS r FROM box a JOIN box b ON a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 AND {_W} > 0 AND {_H} > 0) WHERE r = 1", "box"))
+@query("best_iou", sql(f"SELECT left_id, right_id, round(iou, 9) AS iou FROM (SELECT a.p_partkey AS left_id, b.n_nationkey AS right_id, {_W} * {_H} / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) - {_W} * {_H}) AS iou, row_number() OVER (PARTITION BY a.p_partkey ORDER BY {_W} * {_H} / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) - {_W} * {_H}) DESC, b.n_nationkey) AS r FROM box a JOIN zone b ON {_W} > 0 AND {_H} > 0) WHERE r = 1", "box", "zone"))
 def best_iou(spark, sf):
-    b = i.part_boxes(spark, sf)
-    out = features.best_iou(Boxes(b.where("p_partkey % 2 = 0"), "p_partkey"), Boxes(b.where("p_partkey % 2 = 1"), "p_partkey"))
+    out = features.best_iou(i.parts(spark, sf), i.zone_boxes(spark, sf))
     return out.select("left_id", "right_id", F.round("iou", 9).alias("iou"))
 
 
@@ -132,8 +127,8 @@ def coverage_ratio(spark, sf):
     return out.select("left_id", F.round("covered", 6).alias("covered"), F.round("ratio", 9).alias("ratio"))
 
 
-@query("pointer_trace", "WITH RECURSIVE p AS (SELECT o_orderkey AS cell, CASE WHEN o_orderkey > 0 THEN o_orderkey // 3 END AS nxt FROM orders), t(start, cell, step) AS (SELECT cell, cell, 0::BIGINT FROM p WHERE cell % 500 = 7 UNION ALL SELECT start, nxt, step + 1 FROM t JOIN p USING (cell) WHERE nxt IS NOT NULL) SELECT start, cell, step FROM t")
+@query("pointer_trace", "WITH RECURSIVE p AS (SELECT o_orderkey AS cell, CASE WHEN o_orderkey > 0 THEN o_orderkey // 3 END AS nxt FROM orders), t(start, cell, step) AS (SELECT cell, cell, 0::BIGINT FROM p UNION ALL SELECT start, nxt, step + 1 FROM t JOIN p USING (cell) WHERE nxt IS NOT NULL) SELECT start, cell, step FROM t")
 def pointer_trace(spark, sf):
     k = F.col("o_orderkey")
     cells = i.load(spark, sf, "orders").select(k.alias("cell"), F.when(k > 0, F.floor(k / 3)).alias("next"))
-    return features.trace_pointers(cells, cells.where("cell % 500 = 7"))
+    return features.trace_pointers(cells, cells)

@@ -235,12 +235,16 @@ def hillshade(spark, sf):
     return raster.terrain(i.cells(spark, sf), GRID).select("row", "col", F.round("hillshade", 6).alias("hillshade"))
 
 
-_LOW = "low AS (SELECT \"row\", col, CAST(\"row\" * 4294967296 + col AS BIGINT) AS id, CASE WHEN (\"row\" * 7 + col * 11) % 5 < 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM cell WHERE \"row\" < 16 AND col < 16)"
+_LOW = "low AS (SELECT \"row\", col, CAST(\"row\" * 4294967296 + col AS BIGINT) AS id, floor(value / 60) AS value FROM cell)"
+_BIT = "low AS (SELECT \"row\", col, CASE WHEN value > 370 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM cell)"
 
 
 def _patches(spark, sf):
-    small = i.cells(spark, sf).where("row < 16 and col < 16")
-    return small.withColumn("value", F.when((F.col("row") * 7 + F.col("col") * 11) % 5 < 3, 1.0).otherwise(0.0))
+    return i.cells(spark, sf).withColumn("value", F.floor(F.col("value") / 60).cast("double"))
+
+
+def _bits(spark, sf):
+    return i.cells(spark, sf).withColumn("value", F.when(F.col("value") > 370, 1.0).otherwise(0.0))
 
 
 for _k, _near in {4: "abs(a.\"row\" - b.\"row\") + abs(a.col - b.col) = 1", 8: "abs(a.\"row\" - b.\"row\") <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id"}.items():
@@ -253,17 +257,17 @@ for _k, _near in {4: "abs(a.\"row\" - b.\"row\") + abs(a.col - b.col) = 1", 8: "
 @query("raster_sieve", f"""WITH RECURSIVE {i.SQL['cell']}, {_LOW}, st AS (SELECT a.id AS p, b.id AS q FROM low a JOIN low b ON a.value = b.value AND abs(a."row" - b."row") + abs(a.col - b.col) = 1), r(id, root) AS (SELECT id, id FROM low UNION SELECT st.q, r.root FROM r JOIN st ON st.p = r.id),
     m AS (SELECT id, min(root) AS region FROM r GROUP BY 1) SELECT "row", col, CASE WHEN count(*) OVER (PARTITION BY region) >= 3 THEN value END AS value FROM low JOIN m USING (id)""")
 def sieve(spark, sf):
-    return raster.sieve(_patches(spark, sf), Grid(16, 16), 3.0)
+    return raster.sieve(_patches(spark, sf), GRID, 3.0)
 
 
-@query("raster_morphology_dilate", f"""WITH {i.SQL['cell']}, {_LOW} SELECT a."row", a.col, max(b.value) AS value FROM low a JOIN low b ON abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2""")
+@query("raster_morphology_dilate", f"""WITH {i.SQL['cell']}, {_BIT} SELECT a."row", a.col, max(b.value) AS value FROM low a JOIN low b ON abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2""")
 def morphology_dilate(spark, sf):
-    return raster.morphology(_patches(spark, sf), 1.0, 0.0, "dilate")
+    return raster.morphology(_bits(spark, sf), 1.0, 0.0, "dilate")
 
 
-@query("raster_morphology_erode", f"""WITH {i.SQL['cell']}, {_LOW} SELECT a."row", a.col, CASE WHEN sum(b.value) = 9 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM low a JOIN low b ON abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2""")
+@query("raster_morphology_erode", f"""WITH {i.SQL['cell']}, {_BIT} SELECT a."row", a.col, CASE WHEN sum(b.value) = 9 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM low a JOIN low b ON abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2""")
 def morphology_erode(spark, sf):
-    return raster.morphology(_patches(spark, sf), 1.0, 0.0, "erode")
+    return raster.morphology(_bits(spark, sf), 1.0, 0.0, "erode")
 
 
 @query("raster_rasterize", sql('SELECT "row", col, arg_min(total, (n_nationkey)) AS value FROM zone z JOIN (SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col FROM range(64) a(r), range(64) b(c)) ON ' + _TOUCH + " GROUP BY 1, 2", "zone"))

@@ -51,9 +51,9 @@ def ring_measures(spark, sf):
     return _rings(spark, sf).select("p_partkey", shapes.signed_area(r).alias("area"), shapes.length(r, True).alias("length"), F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"))
 
 
-@query("point_in_polygon", sql("SELECT p_partkey, c_custkey FROM (SELECT * FROM box WHERE p_partkey % 50 = 0) b JOIN cust ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax", "box", "cust"))
+@query("point_in_polygon", sql("SELECT p_partkey, c_custkey FROM box b JOIN cust ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax", "box", "cust"))
 def point_in_polygon(spark, sf):
-    boxes = spatial.Boxes(i.part_boxes(spark, sf).where("p_partkey % 50 = 0"), "p_partkey")
+    boxes = i.parts(spark, sf)
     near = spatial.pairs(boxes, i.customer_points(spark, sf), "intersects").select(F.col("left_id").alias("p_partkey"), F.col("right_id").alias("c_custkey"), F.col("right_x0").alias("x"), F.col("right_y0").alias("y"))
     return near.join(_rings(spark, sf), "p_partkey").where(shapes.contains(F.col("ring"), F.col("x"), F.col("y"))).select("p_partkey", "c_custkey")
 

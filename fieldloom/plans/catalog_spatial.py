@@ -120,11 +120,11 @@ def overlay_intersection(spark, sf):
 
 
 _SHARED = f"shared AS (SELECT a.p_partkey AS k, sum({_W} * {_H}) AS s FROM box a JOIN few b ON {_W} > 0 AND {_H} > 0 GROUP BY 1)"
-_FEW = "few AS (SELECT * FROM zone WHERE n_nationkey % 2 = 0)"
+_FEW = i.SQL["inner"].replace("inner_ AS", "few AS")
 
 
 def _few(spark, sf):
-    return Boxes(i.zones(spark, sf).where("n_nationkey % 2 = 0"), "n_nationkey")
+    return Boxes(i.inner_boxes(spark, sf), "n_nationkey")
 
 
 def _overlay_sql(body: str) -> str:
@@ -214,9 +214,9 @@ def clip_boxes(spark, sf):
     return kept.select("p_partkey", F.greatest("xmin", F.lit(100.0)).alias("xmin"), F.greatest("ymin", F.lit(250.0)).alias("ymin"), F.least("xmax", F.lit(300.0)).alias("xmax"), F.least("ymax", F.lit(500.0)).alias("ymax"))
 
 
-@query("spatial_filter_invert", sql(f"SELECT c_custkey FROM cust c WHERE NOT EXISTS (SELECT 1 FROM zone z WHERE z.n_nationkey < 12 AND {IN_ZONE})", "cust", "zone"))
+@query("spatial_filter_invert", sql(f"SELECT c_custkey FROM cust c WHERE NOT EXISTS (SELECT 1 FROM inner_ z WHERE {IN_ZONE})", "cust", "inner"))
 def spatial_filter_invert(spark, sf):
-    mask = Boxes(i.zones(spark, sf).where("n_nationkey < 12"), "n_nationkey")
+    mask = Boxes(i.inner_boxes(spark, sf), "n_nationkey")
     hit = spatial.pairs(i.customer_points(spark, sf), mask, "intersects").select(F.col("left_id").alias("c_custkey")).distinct()
     return i.customers(spark, sf).select("c_custkey").join(hit, "c_custkey", "left_anti")
 

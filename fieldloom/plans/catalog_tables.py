@@ -300,15 +300,15 @@ def attr_join_collisions(spark, sf):
     return out.select("side", "key", F.size("written").cast("bigint").alias("n"))
 
 
-@query("strict_join", "SELECT c_custkey, n_name AS joined_n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = c_nationkey")
+@query("strict_join", "SELECT c_custkey, n_name AS joined_n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 def strict_join(spark, sf):
-    out = joins.attribute_join(load(spark, sf, "customer"), load(spark, sf, "nation").where("n_nationkey < 20"), "c_nationkey", "n_nationkey", ["n_name"])
+    out = joins.attribute_join(load(spark, sf, "customer"), load(spark, sf, "nation"), "c_nationkey", "n_nationkey", ["n_name"])
     return out.select("c_custkey", "joined_n_name")
 
 
-@query("foreign_anti", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 3 = 0)")
+@query("foreign_anti", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
 def foreign_anti(spark, sf):
-    return joins.unmatched(load(spark, sf, "orders"), load(spark, sf, "customer").where("c_custkey % 3 = 0"), "o_custkey", "c_custkey").select("o_orderkey")
+    return joins.unmatched(load(spark, sf, "orders"), load(spark, sf, "customer").where("c_acctbal > 0"), "o_custkey", "c_custkey").select("o_orderkey")
 
 
 # --- versions --------------------------------------------------------------------------------------------------------
@@ -316,13 +316,14 @@ def foreign_anti(spark, sf):
 
 def _versions(spark, sf):
     c = load(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
-    left = c.where("c_custkey % 5 <> 0")
-    right = c.where("c_custkey % 7 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 6 == 0, "CHANGED").when(F.col("c_custkey") % 11 == 0, None).otherwise(F.col("c_mktsegment")))
+    left = c
+    right = c.withColumn("c_custkey", F.col("c_custkey") + 100).withColumn("c_mktsegment", F.when(F.col("c_custkey") % 6 == 0, "CHANGED").when(F.col("c_custkey") % 11 == 0, None).otherwise(F.col("c_mktsegment")))
     return left, right
 
 
-_L = "l AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 5 <> 0)"
-_R = "r AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 6 = 0 THEN 'CHANGED' WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 7 <> 0)"
+_L = "l AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer)"
+#: The later version: ids moved by 100, so that rows come and go.
+_R = "r AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 6 = 0 THEN 'CHANGED' WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM (SELECT * REPLACE (c_custkey + 100 AS c_custkey) FROM customer))"
 
 
 @query("upsert", f"WITH {_L}, {_R} SELECT coalesce(l.c_custkey, r.c_custkey) AS c_custkey, l.c_name, CASE WHEN r.c_custkey IS NOT NULL THEN r.c_mktsegment ELSE l.c_mktsegment END AS c_mktsegment, l.c_acctbal FROM l FULL JOIN r ON l.c_custkey = r.c_custkey")
@@ -335,7 +336,7 @@ def upsert_changelog(spark, sf):
     return versions.update(*_versions(spark, sf), "c_custkey", ["c_mktsegment"]).changes
 
 
-@query("version_diff", f"WITH {_L}, {_R} SELECT CAST(coalesce(l.c_custkey, r.c_custkey) AS VARCHAR) AS id, CASE WHEN l.c_custkey IS NULL THEN 'added' WHEN r.c_custkey IS NULL THEN 'removed' WHEN l.c_mktsegment IS DISTINCT FROM r.c_mktsegment THEN 'modified' ELSE 'unchanged' END AS change FROM l FULL JOIN r ON l.c_custkey = r.c_custkey")
+@query("version_diff", f"WITH {_L}, {_R} SELECT CAST(coalesce(l.c_custkey, r.c_custkey) AS VARCHAR) AS id, CASE WHEN l.c_custkey IS NULL THEN 'added' WHEN r.c_custkey IS NULL THEN 'removed' WHEN l.c_mktsegment IS DISTINCT FROM r.c_mktsegment OR l.c_acctbal IS DISTINCT FROM r.c_acctbal THEN 'modified' ELSE 'unchanged' END AS change FROM l FULL JOIN r ON l.c_custkey = r.c_custkey")
 def version_diff(spark, sf):
     return versions.compare(*_versions(spark, sf), "c_custkey", ["c_mktsegment", "c_acctbal"]).select("id", "change")
 
@@ -354,10 +355,10 @@ def split_merge_proposals(spark, sf):
     return versions.proposals(found)
 
 
-@query("semantic_preserved", "SELECT CAST(event_id AS VARCHAR) AS id, 'event_type' AS field, CASE WHEN event_id % 50 = 0 THEN 'missing_downstream' ELSE 'changed' END AS issue FROM events WHERE event_id % 50 = 0 OR event_id % 40 = 1")
+@query("semantic_preserved", "SELECT CAST(event_id AS VARCHAR) AS id, 'event_type' AS field, CASE WHEN value > 95 THEN 'missing_downstream' ELSE 'changed' END AS issue FROM events WHERE value > 95 OR event_id % 40 = 1")
 def semantic_preserved(spark, sf):
-    e = load(spark, sf, "events").select("event_id", "event_type")
-    after = e.where("event_id % 50 <> 0").withColumn("event_type", F.when(F.col("event_id") % 40 == 1, F.concat("event_type", F.lit("x"))).when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), F.col("event_type"))).otherwise(F.col("event_type")))
+    e = load(spark, sf, "events").select("event_id", "event_type", "value")
+    after = e.where("value <= 95").withColumn("event_type", F.when(F.col("event_id") % 40 == 1, F.concat("event_type", F.lit("x"))).when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), F.col("event_type"))).otherwise(F.col("event_type")))
     return joins.semantic_check(e, after, "event_id", ["event_type"])
 
 
@@ -369,10 +370,10 @@ _RULES = [
 
 @query("rules_violations", """WITH o AS (SELECT *, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE o_orderpriority END AS c FROM orders) SELECT 'u' AS rule_id, CAST(o_orderkey AS VARCHAR) AS source_id, 'error' AS severity, 'unreviewed' AS review FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM o) WHERE n > 1
     UNION ALL SELECT 'r', CAST(o_orderkey AS VARCHAR), 'error', 'unreviewed' FROM o WHERE c = '' UNION ALL SELECT 'e', CAST(o_orderkey AS VARCHAR), 'error', 'unreviewed' FROM o WHERE o_orderstatus NOT IN ('O', 'F')
-    UNION ALL SELECT 'c', CAST(o_orderkey AS VARCHAR), 'warning', 'unreviewed' FROM o WHERE NOT o_totalprice <= 300000 UNION ALL SELECT 'f', CAST(o_orderkey AS VARCHAR), 'error', 'unreviewed' FROM o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 2 = 0)""")
+    UNION ALL SELECT 'c', CAST(o_orderkey AS VARCHAR), 'warning', 'unreviewed' FROM o WHERE NOT o_totalprice <= 300000 UNION ALL SELECT 'f', CAST(o_orderkey AS VARCHAR), 'error', 'unreviewed' FROM o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)""")
 def rules_violations(spark, sf):
     o = load(spark, sf, "orders").withColumn("c", F.when(F.col("o_orderkey") % 9 == 0, "").otherwise(F.col("o_orderpriority")))
-    return rules.violations(o, "o_orderkey", _RULES, load(spark, sf, "customer").where("c_custkey % 2 = 0"))
+    return rules.violations(o, "o_orderkey", _RULES, load(spark, sf, "customer").where("c_acctbal > 0"))
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------
@@ -402,9 +403,10 @@ def suitability_stability(spark, sf):
 
 @query("segment_matches")
 def segment_matches(spark, sf):
-    p = i.part_boxes(spark, sf).where("p_partkey < 2000")
-    lines = p.select(F.col("p_partkey").alias("id"), F.col("xmin").alias("x0"), F.col("ymin").alias("y0"), (F.col("xmin") + 15).alias("x1"), (F.col("ymin") + F.col("p_size") % 3).alias("y1"))
-    return conflation.match_segments(lines.where("id % 3 = 0"), lines.where("id % 3 <> 0"), 8.0, 15.0, 3.0)
+    def lines(df, key, size):
+        return df.select(F.col(key).alias("id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 25).alias("x1"), (F.col("y") + size).alias("y1"))
+
+    return conflation.match_segments(lines(i.suppliers(spark, sf), "s_suppkey", 1), lines(i.customers(spark, sf), "c_custkey", F.col("c_custkey") % 3), 8.0, 15.0, 3.0)
 
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
