@@ -33,11 +33,10 @@ NAME, STEP = 32, 12
 class Forest:
     """nodes: root, node, depth, offset (in its tree's tokens), tokens, position (of the first token), attends
     (array of start, end in the tree's tokens, the ancestors'), loss_from, loss_to (tokens of the node under the loss).
-    steps: node, ancestor (itself included), position of the ancestor.
-    conversations: conv_id, node (its last turn's), n_turns."""
+    paths: end (a path's last node), depth, node, for every distinct conversation. conversations: conv_id, end, n_turns."""
 
     nodes: DataFrame
-    steps: DataFrame
+    paths: DataFrame
     conversations: DataFrame
 
 
@@ -55,78 +54,92 @@ def _tokenize(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # a special string in a text is text
+        ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        close, heads = ids(CLOSE), {}
         for batch in batches:
-            heads, bodies, roles = (batch.column(c).to_pylist() for c in ("head", "body", "role"))
-            ids = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-            close = tokenizer.encode(CLOSE, add_special_tokens=False).ids
             tokens, start, end = [], [], []
-            for h, b, r in zip(ids(heads), ids(bodies), roles, strict=True):
+            for head, body, role in zip(*(batch.column(c).to_pylist() for c in ("head", "body", "role")), strict=True):
+                if len(heads) > 10_000:
+                    heads.clear()
+                h = heads.get(head) or heads.setdefault(head, ids(head))
+                b = ids(body)
                 tokens.append(h + b + close)
-                lost = r == "assistant"
+                lost = role == "assistant"
                 start.append(len(h) if lost else 0)
                 end.append(len(h) + len(b) if lost else 0)
-            kept = [batch.column(c) for c in ("node", "path", "depth", "ancestors")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(tokens, pa.list_(pa.int32())), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["node", "path", "depth", "ancestors", "tokens", "loss_from", "loss_to"])
+            kept = [batch.column(c) for c in ("node", "rank", "depth")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(tokens, pa.list_(pa.int32())), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["node", "rank", "depth", "tokens", "loss_from", "loss_to"])
 
     return run
 
 
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Along each path, for the nodes that it is the first to hold: offset and position, and what they attend to.
+
+    Ancestors that follow each other in the tree's tokens are one interval, so that a chain has one however long it is.
+    """
+    for batch in batches:
+        out = []
+        for path in batch.column(0).to_pylist():
+            begin, position, spans = path[0]["at"], 0, []
+            for step in path:
+                start = step["at"] - begin
+                if step["own"]:
+                    out.append((path[0]["node"], step["node"], start, position, [{"start": x, "end": y} for x, y in spans]))
+                if spans and spans[-1][1] == start:
+                    spans[-1] = (spans[-1][0], start + step["n"])
+                else:
+                    spans.append((start, start + step["n"]))
+                position += step["n"]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], ["root", "node", "offset", "position", "attends"])
+
+
 def build(conversations: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Forest:
     """The prefix trees of all conversations.
 
     Rows of a conversation go by turn, then role, then text; null roles and texts are empty, rows with a null id are one
-    conversation. Repeated rows are turns of their own. tokenizer: path of a byte-level .json file.
+    conversation. Repeated rows are turns of their own. tokenizer: path of a byte-level .json file. All steps are linear
+    in the turns, however deep a conversation is.
     """
     spark = conversations.sparkSession
     bounded_batches(spark)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    parts = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(OPEN), escaped(t["role"]), F.lit(AFTER_ROLE)).alias("head"), escaped(t["text"]).alias("body")))
-    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))
-    names = F.aggregate(
-        "parts", F.array().cast("array<string>"),
-        lambda acc, s: F.array_append(acc, F.substring(F.sha2(F.concat(last(acc), F.lit("\n"), s["head"], s["body"]), 256), 1, NAME)),
-    )
-    whole = written(whole.withColumn("parts", parts).withColumn("names", names).select("conv_id", "parts", "names"), "chat-turns")
-
-    rows = whole.select("names", F.posexplode("parts").alias("depth", "part")).select(F.element_at("names", F.col("depth") + 1).alias("node"), "depth", F.slice("names", F.lit(1), F.col("depth") + 1).alias("ancestors"), "part")
-    nodes = rows.groupBy("node").agg(F.first("depth").alias("depth"), F.first("ancestors").alias("ancestors"), F.first("part").alias("part"))
-    path = F.array_join(F.transform("ancestors", lambda a: F.substring(a, 1, STEP)), "")
-    nodes = nodes.select("node", "depth", "ancestors", path.alias("path"), "part.*")
-    nodes = nodes.mapInArrow(_tokenize(tokenizer), "node string, path string, depth int, ancestors array<string>, tokens array<int>, loss_from int, loss_to int")
-    # a parent's path begins its children's: sorted paths are the depth-first order
-    laid = nodes.repartitionByRange("path").withColumn("part", F.spark_partition_id()).withColumn("n", F.size("tokens").cast("long"))
-    laid = written(laid, "chat-nodes")
+    id_type = whole.schema["conv_id"].dataType.simpleString()
+    named = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escaped(t["role"]).alias("r"), escaped(t["text"]).alias("body"))).alias("turns"))
+    named = written(named.mapInArrow(_name, f"conv_id {id_type}, end string, path string, turns array<struct<node:string,role:string,head:string,body:string>>"), "chat-turns")
+
+    # equal conversations are one path; sorted paths are the leaves of the trees from left to right
+    paths = named.groupBy("end").agg(F.first("path").alias("path"), F.first("turns").alias("turns"))
+    order = written(paths.select("end", "path"), "chat-paths").repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    order = written(order, "chat-order")
+    sizes = order.groupBy("part").agg(F.count("*").alias("n"))  # as many rows as partitions
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = laid.select("node", "part", "path", "n").withColumn("at", before(Window.partitionBy("part").orderBy("path")))
-    ranges = laid.groupBy("part").agg(F.sum("n").alias("n"))  # as many rows as partitions
-    bases = ranges.withColumn("base", before(Window.orderBy("part"))).select("part", "base")
-    places = inside.join(F.broadcast(bases), "part").select("node", (F.col("base") + F.col("at")).alias("global"), "n")
-    places = written(places, "chat-places")
-
-    roots = laid.where("depth = 0").select("node").join(places, "node").select(F.col("node").alias("root"), F.col("global").alias("begin"))
-    links = laid.select("node", F.element_at("ancestors", 1).alias("root"), F.explode("ancestors").alias("ancestor"))
-    spots = places.select(F.col("node").alias("ancestor"), "global", "n")
-    steps = links.join(spots, "ancestor").join(roots, "root").select("root", "node", "ancestor", (F.col("global") - F.col("begin")).alias("start"), "n")
+    bases = sizes.withColumn("base", before(Window.orderBy("part"))).select("part", "base")
+    ranks = order.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("path"))).join(F.broadcast(bases), "part").select("end", (F.col("base") + F.col("k")).alias("rank"))
+    steps = paths.join(ranks, "end").select("end", "rank", F.posexplode("turns").alias("depth", "turn")).select("end", "rank", "depth", "turn.*")
     steps = written(steps, "chat-steps")
-    own = F.col("node") == F.col("ancestor")
-    spans = steps.groupBy("root", "node").agg(
-        F.max(F.when(own, F.col("start"))).alias("offset"), F.sum(F.when(~own, F.col("n")).otherwise(0)).alias("position"),
-        F.sort_array(F.collect_list(F.when(~own, F.struct("start", (F.col("start") + F.col("n")).alias("end"))))).alias("all"),
-    )
-
-    def merge(acc: Column, x: Column) -> Column:
-        tail = F.try_element_at(acc, F.lit(-1))
-        joined = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(tail["start"].alias("start"), x["end"].alias("end")))
-        return F.when(tail["end"] == x["start"], joined).otherwise(F.array_append(acc, x))
 
-    merged = F.aggregate("all", F.array().cast("array<struct<start:bigint,end:bigint>>"), merge)
-    spans = spans.select("root", "node", "offset", "position", merged.alias("attends"))
-    final = laid.select("node", "depth", "tokens", "loss_from", "loss_to").join(spans, "node")
-    # along a conversation positions and offsets rise together
-    ends = whole.select("conv_id", F.element_at("names", -1).alias("node"), F.size("names").cast("long").alias("n_turns"))
-    return Forest(written(final, "chat-forest"), steps.select("node", "ancestor", F.col("start")), ends)
+    # a node is emitted with the first path that holds it, parents before children: the depth-first order
+    first = steps.groupBy("node").agg(F.min(F.struct("rank", "depth")).alias("place"), F.first("role").alias("role"), F.first("head").alias("head"), F.first("body").alias("body"))
+    nodes = first.select("node", "place.*", "role", "head", "body")
+    nodes = written(nodes.mapInArrow(_tokenize(tokenizer), "node string, rank long, depth int, tokens array<int>, loss_from int, loss_to int"), "chat-nodes")
+    laid = nodes.select("node", "rank", "depth", F.size("tokens").cast("long").alias("n"))
+    laid = written(laid.repartitionByRange("rank", "depth").withColumn("part", F.spark_partition_id()), "chat-laid")
+    inside = laid.withColumn("at", before(Window.partitionBy("part").orderBy("rank", "depth")))
+    totals = laid.groupBy("part").agg(F.sum("n").alias("n"))
+    starts = totals.withColumn("base", before(Window.orderBy("part"))).select("part", "base")
+    places = written(inside.join(F.broadcast(starts), "part").select("node", (F.col("base") + F.col("at")).alias("at"), "n", F.col("rank").alias("first")), "chat-places")
+
+    along = steps.select("end", "rank", "depth", "node").join(places, "node").groupBy("end").agg(
+        F.sort_array(F.collect_list(F.struct("depth", "node", "at", "n", (F.col("rank") == F.col("first")).alias("own")))).alias("path")
+    )
+    spans = along.select("path").mapInArrow(_walk, "root string, node string, offset long, position long, attends array<struct<start:bigint,end:bigint>>")
+    final = nodes.select("node", "depth", "tokens", "loss_from", "loss_to").join(spans, "node")
+    ends = named.select("conv_id", "end", F.size("turns").cast("long").alias("n_turns"))
+    return Forest(written(final, "chat-forest"), steps.select("end", "depth", "node"), ends)
 
 
 def with_position_ids(nodes: DataFrame) -> DataFrame:
@@ -135,25 +148,48 @@ def with_position_ids(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("position_ids", F.when(n > 0, F.sequence(F.col("position"), F.col("position") + n - 1)).otherwise(F.array().cast("array<bigint>")))
 
 
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """conv_id, the last node's name, the sorting path, and the turns with their nodes' names: chained hashes of the segments."""
+    turn = pa.struct([("node", pa.string()), ("role", pa.string()), ("head", pa.string()), ("body", pa.string())])
+    for batch in batches:
+        ends, paths, out = [], [], []
+        for turns in batch.column(1).to_pylist():
+            name, own = "", []
+            for t in turns:
+                head = f"{OPEN}{t['r']}{AFTER_ROLE}"
+                name = hashlib.blake2b(f"{name}\n{head}{t['body']}".encode("utf-8", "surrogatepass"), digest_size=NAME // 2).hexdigest()
+                own.append({"node": name, "role": t["role"], "head": head, "body": t["body"]})
+            ends.append(name)
+            paths.append("".join(t["node"][:STEP] for t in own))
+            out.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, pa.string()), pa.array(paths, pa.string()), pa.array(out, pa.list_(turn))], ["conv_id", "end", "path", "turns"])
+
+
 def _digest(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         decode = lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
+        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             out = []
-            for n_turns, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for parts in batch.column(1).to_pylist():
+                last, seen = parts[-1], []
+                for p in parts[:-1]:  # the last node attends to just these tokens
+                    span = (p["offset"], p["offset"] + len(p["tokens"]))
+                    seen = [*seen[:-1], (seen[-1][0], span[1])] if seen and seen[-1][1] == span[0] else [*seen, span]
+                if seen != [(a["start"], a["end"]) for a in last["attends"]] or last["position"] != sum(len(p["tokens"]) for p in parts[:-1]):
+                    raise ValueError("a node attends to other tokens than its ancestors'")
                 text = "".join(decode(p["tokens"]) for p in parts)
-                found = [(unescaped(m[1]), unescaped(m[2])) for m in _SEGMENT.finditer(text)]
-                if len(found) != n_turns or sum(len(m[0]) for m in _SEGMENT.finditer(text)) != len(text):
+                found = [(unescaped(m[1]), unescaped(m[2]), len(m[0])) for m in _SEGMENT.finditer(text)]
+                if len(found) != len(parts) or sum(n for _, _, n in found) != len(text):
                     raise ValueError("a formatted conversation can't be read back")
                 lost = "".join(unescaped(decode(p["tokens"][p["loss_from"] : p["loss_to"]])) for p in parts)
-                turns = "".join(f"{r}\n{t}\n" for r, t in found)
-                sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((sha(turns), len(lost), sha(lost), len(text)))
-            a, b, c, d = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.string()), pa.array(d, pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                out.append((len(found), sha("".join(f"{r}\n{t}\n" for r, t, _ in found)), len(lost), sha(lost), len(text)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["end", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return run
 
@@ -161,10 +197,10 @@ def _digest(tokenizer_path: str):
 def read_back(forest: Forest, tokenizer: str) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the emitted tokens alone.
 
-    A conversation is what its last node attends to, in order, and the node itself.
+    A conversation is what its last node attends to, in order, and the node itself. Equal ones are read once.
     """
-    tokens = forest.nodes.select(F.col("node").alias("ancestor"), "tokens", "loss_from", "loss_to")
-    parts = forest.conversations.join(forest.steps, "node").join(tokens, "ancestor")
-    whole = parts.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list(F.struct("start", "tokens", "loss_from", "loss_to"))).alias("parts"))
-    id_type = whole.schema["conv_id"].dataType.simpleString()
-    return whole.mapInArrow(_digest(tokenizer), f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    held = forest.nodes.select("node", "offset", "position", "tokens", "loss_from", "loss_to", "attends")
+    parts = F.struct("depth", "offset", "position", "tokens", "loss_from", "loss_to", "attends")
+    whole = forest.paths.join(held, "node").groupBy("end").agg(F.sort_array(F.collect_list(parts)).alias("parts"))
+    read = whole.mapInArrow(_digest(tokenizer), "end string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return forest.conversations.select("conv_id", "end").join(read, "end").drop("end")

@@ -101,6 +101,7 @@ def talks(spark):
         (1, 0, "user", "a: b # <|endoftext|> \\ \n"), (1, 1, "assistant", None), (1, 2, None, "é😀"), (2, 0, "user", "a: b # <|endoftext|> \\ \n"), (2, 1, "assistant", "x"), (2, 1, "assistant", "x"),
         (3, 0, "user", "a: b # <|endoftext|> \\ \n"), (None, 0, "assistant", ""), (-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY), (4, None, "system", "### Assistant: </turn>\n"), (4, 0, "assistant", "t" * 30_000),
     ]
+    rows += [(5, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(150)] + [(6, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(150)] + [(7, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(60)]
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
@@ -122,7 +123,8 @@ def test_chat_round_trip(spark, talks):
 
 def test_shared_turns_are_emitted_once(spark, talks):
     nodes = chat_format.with_position_ids(chat_format.build(talks, BYTE).nodes).toPandas()
-    assert len(nodes) == 10  # of 12 turns: three conversations share their first
+    assert len(nodes) == 160  # three conversations share their first turn, two are equal and one is their beginning
+    assert nodes["attends"].map(len).max() == 2  # chains are one interval
     for _, tree in nodes.groupby("root"):
         tree = tree.sort_values("offset")
         assert list(tree["offset"]) == list(tree["tokens"].map(len).cumsum().shift(fill_value=0))
