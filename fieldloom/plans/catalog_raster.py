@@ -196,9 +196,9 @@ def resample_bilinear(spark, sf):
     return raster.resample(i.cells(spark, sf), GRID, Grid(32, 32, 0.0, 64.0, 2.0, 2.0), "bilinear").withColumn("value", F.round("value", 4))
 
 
-@query("raster_allocate_area", sql(f'SELECT z.n_nationkey, "row", col, round({_SHARE} / sum({_SHARE}) OVER (PARTITION BY z.n_nationkey) * total, 4) AS value FROM zone z JOIN cell ON {_TOUCH}', "zone", "cell"))
+@query("raster_allocate_area", sql(f'SELECT z.n_nationkey, "row", col, round({_SHARE} / sum({_SHARE}) OVER (PARTITION BY z.n_nationkey) * total, 12) AS value FROM zone z JOIN cell ON {_TOUCH}', "zone", "cell"))
 def allocate_area(spark, sf):
-    return raster.allocate(i.cells(spark, sf), _BIG, i.zones(spark, sf), "n_nationkey", "total", "area").withColumn("value", F.round("value", 4))
+    return raster.allocate(i.cells(spark, sf), _BIG, i.zones(spark, sf), "n_nationkey", "total", "area").withColumn("value", F.round("value", 12))
 
 
 @query("raster_allocate_integer", sql(f"""SELECT k AS n_nationkey, "row", col, (base + (rn <= total - sum(base) OVER (PARTITION BY k))::INT)::DOUBLE AS value FROM (
