@@ -1,13 +1,15 @@
 """Licence scans by sparse TF-IDF cosine to templates, with inheritance along paths, in built-in functions only.
 
-Every line of a text that holds a licence word is a header candidate; it is compared with the templates over the
-templates' terms, weighted by their inverse document frequency over all files. A file that is a licence text as a whole
-gives its licence to its directory. A file without a licence of its own takes that of its nearest ancestor directory.
+A text that holds a licence word is cut into lines and sentences. Every run of up to WINDOW of these pieces with a
+licence word, wrapped notices and comment blocks included, and every such text as a whole is compared with the templates
+over the templates' terms, weighted by their inverse document frequency over all files. A file that is a licence text as
+a whole gives its licence to its directory. A file without a licence of its own takes that of its nearest ancestor
+directory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -29,6 +31,11 @@ TEMPLATES = [
 #: A candidate holds one of these words; every template does.
 TRIGGER = r"(?i)\b(licen[sc]ed?|copyright|permission|redistribut\w+|rights\s+reserved|free\s+software|creative\s+commons)\b"
 
+#: Pieces of a candidate at most; the longest notice has about 40 in narrow lines.
+WINDOW = 64
+#: Pieces end with a line or a sentence.
+PIECE = r"[\r\n]+|(?<=[.!?])[\"')]*\s+"
+
 
 def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")
@@ -51,42 +58,70 @@ def term_weights(files: DataFrame, templates: DataFrame, text_col: str = "text")
     return counted.join(F.broadcast(total), how="left").select("term", (1 + F.log((1 + F.coalesce("files", F.lit(0))) / (1 + F.coalesce("n", F.lit(0))))).alias("idf"))
 
 
+def _runs(words: DataFrame, top: float, least: float) -> DataFrame:
+    """key, first, last of the runs of up to WINDOW pieces that hold a licence word.
+
+    Only runs that can't reach `least` are left out: a cosine of c asks that the terms outside the templates weigh at
+    most 1 / c^2 - 1 of those inside (squared), a term weighs at least `top` each time, and the inner norm of a run is
+    at most the sum of its pieces'.
+    """
+    known = F.col("idf").isNotNull()
+    sums = words.groupBy("key", "piece").agg(
+        F.max(F.col("licence_word").cast("int")).alias("licence_word"), F.sum(F.when(~known, F.col("tf") * top * top).otherwise(0.0)).alias("outer"), F.sqrt(F.sum(F.when(known, F.pow(F.col("tf") * F.col("idf"), F.lit(2))).otherwise(0.0))).alias("inner")
+    )
+    order = Window.partitionBy("key").orderBy("piece")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = [F.sum(c).over(before).alias(c) for c in ("licence_word", "outer", "inner")]
+    following = F.collect_list(F.struct("piece", *totals)).over(order.rowsBetween(Window.currentRow, WINDOW - 1))
+    own = {c: F.col(c) for c in ("licence_word", "outer", "inner")}
+    runs = sums.select("key", "piece", *own.values(), following.alias("next"))
+    # a run's sums: the totals up to its end, less those up to its first piece, and that piece's own
+    of = lambda x, c: x[c] - F.col("next")[0][c] + own[c]
+    fits = lambda x: (of(x, "licence_word") > 0) & (of(x, "outer") <= (1 / least**2 - 1) * F.pow(of(x, "inner"), F.lit(2)) + 1e-6)
+    return runs.select("key", F.col("piece").alias("first"), F.explode(F.transform(F.filter("next", fits), lambda x: x["piece"])).alias("last"))
+
+
 def detect(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """Every row of files: doc_id, path, licence (or null), similarity, whole (the file is a licence text).
 
-    A candidate's terms outside the templates weigh as much as the rarest term inside them. Ties: the higher
-    similarity, then the first template. Null and empty texts have no licence.
+    A candidate's terms outside the templates weigh as much as the rarest term inside them. Of a file's hits, a licence
+    goes before a mere reservation of rights, the file as a whole before its parts, then the higher similarity, then the
+    first template. Null and empty texts have no licence.
     """
     spark = files.sparkSession
     templates = _templates(spark)
-    weights = {r["term"]: r["idf"] for r in term_weights(files, templates, text_col).collect()}  # the templates' terms
-    top = max(weights.values())
-    tf = lambda words: F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("term"), F.size(F.filter(words, lambda u: u == t)).cast("double").alias("tf")))
-    table = F.create_map(*[x for t, w in sorted(weights.items()) for x in (F.lit(t), F.lit(float(w)))])
-    vector = lambda words: F.transform(tf(words), lambda x: F.struct(x["term"].alias("term"), (x["tf"] * F.coalesce(F.element_at(table, x["term"]), F.lit(float(top)))).alias("w")))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-
-    pattern = templates.withColumn("v", vector(_terms(F.col("wording")))).withColumn("norm", norm(F.col("v"))).select("template", "licence", "norm", F.inline("v").alias("term", "tw"))
+    weights = F.broadcast(written(term_weights(files, templates, text_col), "licence-terms"))  # the templates' terms
+    top = float(weights.agg(F.max("idf")).first()[0])
+
+    pattern = templates.select("template", "licence", F.explode(_terms(F.col("wording"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf")).join(weights, "term")
+    pattern = pattern.select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("tw"))
+    norms = pattern.groupBy("template", "licence").agg(F.sqrt(F.sum(F.pow("tw", F.lit(2)))).alias("norm"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(TRIGGER)))
-    found = F.when(F.rlike(text, F.lit(TRIGGER)), F.transform(F.array_distinct(lines), lambda x: F.struct(x.alias("header"), _terms(x).alias("words"))))
-    n_terms = F.when(F.rlike(text, F.lit(TRIGGER)), F.size(_terms(text)))
-    # each row keeps its own candidates, so that no identity is needed to bring the result back
-    rows = written(
-        files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), found.alias("found"), n_terms.alias("n_terms")).withColumn("row", F.monotonically_increasing_id()), "licence-rows"
-    )
-    candidates = rows.where("size(found) > 0").select("row", "n_terms", F.inline("found")).where("size(words) > 0")
-    distinct = candidates.select("header", "words").distinct().withColumn("v", vector(F.col("words"))).withColumn("hnorm", norm(F.col("v")))
-    scored = (
-        distinct.select("header", "hnorm", F.inline("v").alias("term", "hw")).join(F.broadcast(pattern), "term")
-        .groupBy("header", "template", "licence", "hnorm", "norm").agg(F.sum(F.col("hw") * F.col("tw")).alias("dot"))
-        .select("header", F.struct(F.round(F.col("dot") / (F.col("hnorm") * F.col("norm")), 9).alias("similarity"), (-F.col("template")).alias("order"), "licence").alias("hit"))
-        .groupBy("header").agg(F.max("hit").alias("hit")).where(F.col("hit.similarity") >= least)
-    )
-    own = candidates.join(scored, "header").groupBy("row").agg(F.max("hit").alias("hit"), F.sum(F.size("words")).alias("covered"))
-    return rows.join(own, "row", "left").select(
-        "doc_id", "path", F.col("hit.licence").alias("licence"), F.col("hit.similarity").alias("similarity"), F.coalesce(F.col("covered") >= 0.5 * F.col("n_terms"), F.lit(False)).alias("whole")
-    )
+    held = F.rlike(text, F.lit(TRIGGER))
+    rows = written(files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.when(held, F.sha2(text, 256)).alias("key"), F.when(held, text).alias("text")), "licence-rows")
+    # equal texts are judged once
+    texts = rows.where("key is not null").groupBy("key").agg(F.first("text").alias("text"))
+    pieces = texts.select("key", F.posexplode(F.split("text", PIECE)).alias("piece", "wording"))
+    terms = pieces.select("key", "piece", F.rlike("wording", F.lit(TRIGGER)).alias("licence_word"), F.explode(_terms(F.col("wording"))).alias("term"))
+    words = written(terms.groupBy("key", "piece", "licence_word", "term").agg(F.count("*").alias("tf")).join(weights, "term", "left"), "licence-words")
+
+    def hits(vectors: DataFrame, part: list[str]) -> DataFrame:
+        """The columns `part`, template, licence, similarity of vectors: part, term, tf, idf."""
+        weighed = vectors.groupBy(*part, "term").agg((F.sum("tf") * F.coalesce(F.first("idf"), F.lit(top))).alias("hw"), F.first("idf").isNotNull().alias("known"))
+        weighed = written(weighed, "licence-vectors")
+        lengths = weighed.groupBy(*part).agg(F.sqrt(F.sum(F.pow("hw", F.lit(2)))).alias("hnorm"))
+        dots = weighed.where("known").join(F.broadcast(pattern), "term").groupBy(*part, "template").agg(F.sum(F.col("hw") * F.col("tw")).alias("dot"))
+        near = dots.join(lengths, part).join(F.broadcast(norms), "template")
+        return near.select(*part, "template", "licence", F.round(F.col("dot") / (F.col("hnorm") * F.col("norm")), 9).alias("similarity")).where(F.col("similarity") >= least)
+
+    whole = written(hits(words, ["key"]).select("key", "template", "licence", "similarity", F.lit(True).alias("whole")), "licence-whole")
+    # the parts of a file that is a licence as a whole would not be asked
+    rest = words.join(whole.where(F.col("licence") != "proprietary").select("key").distinct(), "key", "left_anti")
+    runs = _runs(rest, top, least).join(rest, "key").where("piece between first and last")
+    parts = hits(runs, ["key", "first", "last"]).select("key", "template", "licence", "similarity", F.lit(False).alias("whole"))
+    order = F.struct((F.col("licence") != "proprietary").alias("named"), "whole", "similarity", (-F.col("template")).alias("order"), "licence")
+    own = whole.unionByName(parts).groupBy("key").agg(F.max(order).alias("hit"))
+    return rows.join(own, "key", "left").select("doc_id", "path", F.col("hit.licence").alias("licence"), F.col("hit.similarity").alias("similarity"), F.coalesce("hit.whole", F.lit(False)).alias("whole"))
 
 
 def parents(path: Column) -> Column:

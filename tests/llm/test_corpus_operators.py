@@ -177,6 +177,46 @@ def test_licences(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD_NOTICE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND."""
+
+
+def commented(text: str) -> str:
+    return "\n".join(f"# {line}".rstrip() for line in text.split("\n"))
+
+
+def test_wrapped_licences(spark):
+    rows = [
+        (1, "m/a.py", commented(MIT_TEXT) + "\nimport os\n" + prose(3, 80)), (2, "g/a.txt", prose(4, 40) + "\n" + GPL_NOTICE + "\n" + prose(5, 40)), (3, "b/a.c", "int x;\n// " + BSD_NOTICE.replace("\n", "\n// ") + "\nint y;\n" + prose(9, 60)),
+        (4, "p/LICENSE", APACHE_NOTICE), (5, "p/q/a.py", "x = 1"), (6, "l/a.txt", prose(6, 40) + ". Released under the MIT License. " + prose(7, 40)), (7, "w/LICENSE", MIT_TEXT.replace("\n", "\r\n")), (8, "w/a.py", ""), (9, "n/a.txt", "permission " + prose(8, 200)),
+    ]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["own_licence"], r["licence_file"], r["licence"]) for r in license_scan.scan(files).collect()}
+    assert got == {
+        1: ("MIT", False, "MIT"), 2: ("GPL-3.0", False, "GPL-3.0"), 3: ("BSD-3-Clause", False, "BSD-3-Clause"), 4: ("Apache-2.0", True, "Apache-2.0"), 5: (None, False, "Apache-2.0"), 6: ("MIT", False, "MIT"),
+        7: ("MIT", True, "MIT"), 8: (None, False, "MIT"), 9: (None, False, None),
+    }
+
+
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)  # groups of several blocks
     rng, rows = random.Random(9), []
