@@ -28,9 +28,65 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("proprietary", "All rights reserved."),
 ]
-#: A candidate holds one of these words; every template does.
-TRIGGER = r"(?i)\b(licen[sc]ed?|copyright|permission|redistribut\w+|rights\s+reserved|free\s+software|creative\s+commons)\b"
+DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_3 = BSD_2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+GNU_FULL = GNU + " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see http://www.gnu.org/licenses/."
+#: Versions of the GNU licences: label, name, version, abbreviation.
+GNU_LICENCES = [
+    ("GPL-2.0", "General Public License", "2", "GPL"), ("GPL-3.0", "General Public License", "3", "GPL"), ("LGPL-2.0", "Library General Public License", "2", "LGPL"), ("LGPL-2.1", "Lesser General Public License", "2.1", "LGPL"),
+    ("LGPL-3.0", "Lesser General Public License", "3", "LGPL"), ("AGPL-3.0", "Affero General Public License", "3", "AGPL"),
+]
+#: Creative Commons licences, each in versions 3.0 and 4.0.
+CC_LICENCES = [
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+]
+#: Names in short notices and identifiers.
+NAMED = [
+    ("Apache-2.0", "Apache License 2.0"), ("MIT", "MIT License"), ("MPL-2.0", "Mozilla Public License 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD", "BSD License"),
+    ("ISC", "ISC License"), ("Unlicense", "Unlicense"), ("CC0-1.0", "CC0 1.0 Universal License"),
+]
+TEMPLATES += [(name, f"{verb} under the {title}.") for name, title in NAMED for verb in ("Licensed", "Released", "This work is licensed")]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "MIT", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0", *(x[0] for x in GNU_LICENCES))]
+TEMPLATES += [(name, form) for name, title, version, short in GNU_LICENCES for form in (
+    f"This work is licensed under the GNU {title}, version {version}.", f"Released under the GNU {title} v{version}.", f"Licensed under the {short} version {version}.", f"Licensed under {short}v{version}.",
+    GNU.format(title, version), GNU_FULL.format(title, version),
+)]
+TEMPLATES += [(f"CC-{kind}-{version}", form) for kind, title in CC_LICENCES for version in ("3.0", "4.0") for form in (
+    f"Licensed under CC {kind} {version}.", f"SPDX-License-Identifier: CC-{kind}-{version}", f"This work is licensed under a Creative Commons {title} {version} International License.",
+    f"This work is licensed under the Creative Commons {title} {version} International License. To view a copy of this license, visit http://creativecommons.org/licenses/{kind.lower()}/{version}/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+)]
+TEMPLATES += [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", BSD_2), ("BSD-2-Clause", f"{BSD_2} {DISCLAIMER}"), ("BSD-3-Clause", BSD_3), ("BSD-3-Clause", f"{BSD_3} {DISCLAIMER}"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. Licensed under CC0 1.0 Universal."),
+    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+]
+#: Terms that tell licences and their versions apart, with what they stand for.
+MARKS = {x: [x] for x in ("1", "2", "3", "4", "nc", "sa", "nd", "lesser", "library", "affero", "endorse")} | {
+    "v1": ["1"], "v2": ["2"], "v3": ["3"], "v4": ["4"], "gplv2": ["2"], "gplv3": ["3"], "lgpl": ["lesser"], "lgplv2": ["lesser", "2"], "lgplv3": ["lesser", "3"], "agpl": ["affero"], "agplv3": ["affero", "3"],
+    "noncommercial": ["nc"], "commercial": ["nc"], "sharealike": ["sa"], "alike": ["sa"], "noderivatives": ["nd"], "noderivs": ["nd"], "derivatives": ["nd"], "derivs": ["nd"],
+}
+_KINDS = {"SA", "NC", "ND"}
+#: Marks that a candidate must have, and that it must not have, to be called so.
+RULES = {
+    "Apache-2.0": (["2"], []), "MPL-2.0": (["2"], []), "GPL-2.0": (["2"], ["lesser", "affero"]), "GPL-3.0": (["3"], ["lesser", "affero"]), "LGPL-2.0": (["2"], ["1", "affero"]), "LGPL-2.1": (["lesser", "2", "1"], ["affero"]),
+    "LGPL-3.0": (["lesser", "3"], ["affero"]), "AGPL-3.0": (["affero", "3"], ["lesser"]), "BSD-2-Clause": (["2"], ["endorse"]),
+} | {f"CC-{k}-{v}.0": ([v, *(x.lower() for x in k.split("-")[1:])], [x.lower() for x in sorted(_KINDS - set(k.split("-")))]) for k, _ in CC_LICENCES for v in "34"}
+#: Wordings that another licence's notice may hold too: named after all others (a reservation of rights: 0).
+GENERAL = {"proprietary": 0, "BSD": 1}
+BARE_BSD = 9  # the template of the two lines that all BSD licences begin with
 
+#: A candidate holds one of these words; every template does.
+TRIGGER = r"(?i)\b(licen[sc]ed?|unlicen[sc]e|spdx|public\s+domain|copyright|permission|redistribut\w+|rights\s+reserved|free\s+software|creative\s+commons)\b"
 #: Pieces of a candidate at most; the longest notice has about 40 in narrow lines.
 WINDOW = 64
 #: Pieces end with a line or a sentence.
@@ -46,6 +102,14 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def _rules(spark: SparkSession) -> DataFrame:
+    """template, rank, must, never."""
+    text = "array<string>"
+    marks = lambda k, name: F.array(*map(F.lit, RULES.get(name, ([], []))[k])).cast(text)
+    rows = [F.struct(F.lit(k).alias("template"), F.lit(1 if k == BARE_BSD else GENERAL.get(name, 2)).alias("rank"), marks(0, name).alias("must"), marks(1, name).alias("never")) for k, (name, _) in enumerate(TEMPLATES)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def term_weights(files: DataFrame, templates: DataFrame, text_col: str = "text") -> DataFrame:
     """term, idf of the templates' terms: 1 + ln((1 + files) / (1 + files with the term)), over all files."""
     vocabulary = templates.select(F.explode(F.array_distinct(_terms(F.col("wording")))).alias("term")).distinct()
@@ -84,8 +148,9 @@ def _runs(words: DataFrame, top: float, least: float) -> DataFrame:
 def detect(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """Every row of files: doc_id, path, licence (or null), similarity, whole (the file is a licence text).
 
-    A candidate's terms outside the templates weigh as much as the rarest term inside them. Of a file's hits, a licence
-    goes before a mere reservation of rights, the file as a whole before its parts, then the higher similarity, then the
+    A candidate's terms outside the templates weigh as much as the rarest term inside them. A hit must have
+    its licence's marks (version, kind) and none of others. Of a file's hits, a licence goes before a wording that others
+    share and a mere reservation of rights, the file as a whole before its parts, then the higher similarity, then the
     first template. Null and empty texts have no licence.
     """
     spark = files.sparkSession
@@ -95,7 +160,10 @@ def detect(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", path_co
 
     pattern = templates.select("template", "licence", F.explode(_terms(F.col("wording"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf")).join(weights, "term")
     pattern = pattern.select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("tw"))
-    norms = pattern.groupBy("template", "licence").agg(F.sqrt(F.sum(F.pow("tw", F.lit(2)))).alias("norm"))
+    norms = pattern.groupBy("template", "licence").agg(F.sqrt(F.sum(F.pow("tw", F.lit(2)))).alias("norm")).join(F.broadcast(_rules(spark)), "template")
+    # written: read again by every join
+    pattern, norms = written(pattern, "licence-patterns"), written(norms, "licence-norms")
+    meant = F.create_map(*[x for t, m in MARKS.items() for x in (F.lit(t), F.array(*map(F.lit, m)))])
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = F.rlike(text, F.lit(TRIGGER))
     rows = written(files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.when(held, F.sha2(text, 256)).alias("key"), F.when(held, text).alias("text")), "licence-rows")
@@ -106,20 +174,20 @@ def detect(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", path_co
     words = written(terms.groupBy("key", "piece", "licence_word", "term").agg(F.count("*").alias("tf")).join(weights, "term", "left"), "licence-words")
 
     def hits(vectors: DataFrame, part: list[str]) -> DataFrame:
-        """The columns `part`, template, licence, similarity of vectors: part, term, tf, idf."""
+        """The columns `part`, template, licence, rank, similarity of vectors: part, term, tf, idf."""
         weighed = vectors.groupBy(*part, "term").agg((F.sum("tf") * F.coalesce(F.first("idf"), F.lit(top))).alias("hw"), F.first("idf").isNotNull().alias("known"))
         weighed = written(weighed, "licence-vectors")
-        lengths = weighed.groupBy(*part).agg(F.sqrt(F.sum(F.pow("hw", F.lit(2)))).alias("hnorm"))
+        lengths = weighed.groupBy(*part).agg(F.sqrt(F.sum(F.pow("hw", F.lit(2)))).alias("hnorm"), F.flatten(F.collect_set(F.element_at(meant, F.col("term")))).alias("marks"))
         dots = weighed.where("known").join(F.broadcast(pattern), "term").groupBy(*part, "template").agg(F.sum(F.col("hw") * F.col("tw")).alias("dot"))
-        near = dots.join(lengths, part).join(F.broadcast(norms), "template")
-        return near.select(*part, "template", "licence", F.round(F.col("dot") / (F.col("hnorm") * F.col("norm")), 9).alias("similarity")).where(F.col("similarity") >= least)
+        near = dots.join(lengths, part).join(F.broadcast(norms), "template").where((F.size(F.array_except("must", "marks")) == 0) & ~F.arrays_overlap("never", "marks"))
+        return near.select(*part, "template", "licence", "rank", F.round(F.col("dot") / (F.col("hnorm") * F.col("norm")), 9).alias("similarity")).where(F.col("similarity") >= least)
 
-    whole = written(hits(words, ["key"]).select("key", "template", "licence", "similarity", F.lit(True).alias("whole")), "licence-whole")
+    whole = written(hits(words, ["key"]).select("key", "template", "licence", "rank", "similarity", F.lit(True).alias("whole")), "licence-whole")
     # the parts of a file that is a licence as a whole would not be asked
-    rest = words.join(whole.where(F.col("licence") != "proprietary").select("key").distinct(), "key", "left_anti")
+    rest = words.join(whole.where("rank = 2").select("key").distinct(), "key", "left_anti")
     runs = _runs(rest, top, least).join(rest, "key").where("piece between first and last")
-    parts = hits(runs, ["key", "first", "last"]).select("key", "template", "licence", "similarity", F.lit(False).alias("whole"))
-    order = F.struct((F.col("licence") != "proprietary").alias("named"), "whole", "similarity", (-F.col("template")).alias("order"), "licence")
+    parts = hits(runs, ["key", "first", "last"]).select("key", "template", "licence", "rank", "similarity", F.lit(False).alias("whole"))
+    order = F.struct("rank", "whole", "similarity", (-F.col("template")).alias("order"), "licence")
     own = whole.unionByName(parts).groupBy("key").agg(F.max(order).alias("hit"))
     return rows.join(own, "key", "left").select("doc_id", "path", F.col("hit.licence").alias("licence"), F.col("hit.similarity").alias("similarity"), F.coalesce("hit.whole", F.lit(False)).alias("whole"))
 

@@ -217,6 +217,19 @@ def test_wrapped_licences(spark):
     }
 
 
+def test_licence_versions(spark):
+    cases = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the BSD License.": "BSD", "Released under the ISC License.": "ISC", "SPDX-License-Identifier: AGPL-3.0": "AGPL-3.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0", "This is free and unencumbered software released into the public domain.": "Unlicense", license_scan.BSD_2: "BSD-2-Clause", license_scan.BSD_3: "BSD-3-Clause",
+        "Licensed under the Apache License, Version 1.1.": None, "Licensed under CC BY 2.0.": None, "Dedicated to the public domain under CC0 1.0 Universal.": "CC0-1.0",
+    }
+    rows = [(k, f"d{k}/LICENSE", t) for k, t in enumerate(cases)] + [(100 + k, f"e{k}.txt", prose(k, 60)) for k in range(20)]
+    got = {r["doc_id"]: r["own_licence"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values()) and not any(got[100 + k] for k in range(20))
+    assert license_scan.TEMPLATES[license_scan.BARE_BSD][0] == "BSD-3-Clause"
+
+
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)  # groups of several blocks
     rng, rows = random.Random(9), []
