@@ -1,18 +1,16 @@
-"""What the training-data operators share: the shared folder, written tables, Arrow batches."""
+"""What the training-data operators share: tables, Arrow batches, rows as one column, joins with hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Rows in an Arrow batch; texts of a few kilobytes then keep a batch at a few megabytes.
 BATCH_ROWS = 500
-
-_written: list[tuple[SparkSession, str]] = []
+#: Keys that hold more than the HEAVY-th part of all rows; there can't be more than HEAVY of them.
+HEAVY = 1000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,16 +18,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='fieldloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Smaller Arrow batches than Spark's default, so that batches of long texts stay small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -41,30 +29,15 @@ def as_rows(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/fieldloom/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and an executor's loss costs nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_written() -> None:
-    """Deletes the tables that this process wrote. Results that still read them must have been consumed."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended; the folder's owner cleans up
-            return
+def heavy_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The keys with more than a thousandth of all rows, written. counts: one row per key, with its rows n."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return written(counts.where(F.col(n) > total / HEAVY).select(*keys), "heavy-keys")
 
 
-atexit.register(remove_written)
+def join_heavy(rows: DataFrame, labels: DataFrame, keys: list[str], heavy: DataFrame, how: str = "left") -> DataFrame:
+    """rows joined to labels (narrow, one row per key) on keys without nulls: rows of heavy keys meet their labels, HEAVY
+    at most, where they lie; the others are dealt by key, of which none has more than a thousandth of the rows."""
+    few = F.broadcast(heavy)
+    hot = rows.join(few, keys, "left_semi").join(F.broadcast(labels.join(few, keys, "left_semi")), keys, how)
+    return hot.unionByName(rows.join(few, keys, "left_anti").join(labels, keys, how))
