@@ -1,9 +1,11 @@
 """Jaccard self-join of documents on word n-grams by MinHash banding.
 
 Documents of equal n-gram sets form a copy class and go on as one. Band and row counts are chosen for the target
-recall; class signatures are dealt by band hash; classes that meet in a band form candidate groups. Within a group
-every pair of classes is verified on the full n-gram sets, in blocks whose results are each class's number of links
-and the block's linked sets, never the pairs. Linked classes then form the near-duplicate classes.
+recall; class signatures are dealt by band hash, and classes that meet in a band are candidates. For locality, classes
+that are connected by such meetings form groups, cut into blocks; a class goes to the cell of its own and another block
+only if it meets a class of that block in a band, so that the work is bounded by the candidates and not by the group's
+square. All pairs of a cell are verified on the full n-gram sets; results are each class's number of links and the
+cell's linked sets, never the pairs. Linked classes then form the near-duplicate classes.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_rows, bounded_batches, written
-from .components import components
+from ..operators.graph import connected_components
+from .common import as_rows, bounded_batches, heavy_keys, join_heavy, written
 
 #: Expected classes of a verification block.
-BLOCK = 256
+BLOCK = 128
 #: Distinct words whose hashes a worker remembers before it starts anew.
 MEMORY = 1_000_000
 
@@ -113,8 +115,8 @@ def _gram_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of = Grams(n)
         for batch in batches:
-            grams = pa.array([grams_of(t or "").tobytes() for t in batch.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), grams], ["group", "copy", "blocks", "grams"])
+            grams = pa.array([grams_of(t or "").tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], grams], ["group", "copy", "blocks", "own", "grams"])
 
     return run
 
@@ -203,6 +205,29 @@ def _verify(ratio: Fraction):
     return run
 
 
+def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(meets, placed). meets: band, copy of the classes that meet others in a band. placed: copy, group, blocks, own:
+    the classes connected by meetings, the number of the group's blocks and the class's own one."""
+    dealt = classes.select("copy", F.explode("bands").alias("band"))
+    pivots = written(dealt.groupBy("band").agg(F.min("copy").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "bands")
+    met = join_heavy(dealt, pivots.select("band", "pivot"), ["band"], heavy_keys(pivots, ["band"]), "inner")
+    meets = written(met.select("band", "copy", "pivot"), "meets")
+    groups = connected_components(meets, "copy", "pivot").select(F.col("node").alias("copy"), F.col("root").alias("group"))
+    sizes = written(groups.groupBy("group").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "groups")
+    placed = join_heavy(groups, sizes.select("group", "blocks"), ["group"], heavy_keys(sizes, ["group"]), "inner")
+    return meets.select("band", "copy"), written(placed.withColumn("own", F.pmod(F.xxhash64("copy"), "blocks").cast("int")), "placed")
+
+
+def _cells(meets: DataFrame, placed: DataFrame, members: DataFrame) -> DataFrame:
+    """group, i, j, own, copy, grams: the members of each cell, i <= j."""
+    small = members.where("blocks = 1").select("group", F.lit(0).alias("i"), F.lit(0).alias("j"), "own", "copy", "grams")
+    met = meets.join(placed.where("blocks > 1").select("copy", "own"), "copy")
+    present = met.groupBy("band").agg(F.collect_set("own").alias("owns"))  # blocks, not classes
+    reach = met.join(present, "band").groupBy("copy").agg(F.array_distinct(F.flatten(F.collect_list("owns"))).alias("others"))  # a class is in few bands
+    large = members.where("blocks > 1").join(reach, "copy").withColumn("other", F.explode("others"))
+    return small.unionByName(large.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "copy", "grams"))
+
+
 def jaccard_classes(
     docs: DataFrame, threshold: str = "0.8", n: int = 5, recall: float = 0.9995, hashes: int = 128, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -211,8 +236,8 @@ def jaccard_classes(
     copy_id: the least doc_id among equal n-gram sets. n_links: the number of other n-gram sets in docs at a Jaccard
     similarity of the threshold or more. class_id: the least doc_id among documents connected by links. Null and empty
     texts have no n-grams: they are copies of each other, without links. A text of fewer than n words counts as one
-    n-gram. Null ids: kept, and never the least of a class unless all are null. Repeated rows: a row each.
-    threshold: a decimal string, compared exactly.
+    n-gram. Null ids: kept, and never the least of a class unless all are null. Repeated rows: a row each, which count
+    once as links. threshold: a decimal string, compared exactly.
     """
     bounded_batches(docs.sparkSession)
     ratio = Fraction(threshold)
@@ -221,44 +246,41 @@ def jaccard_classes(
     id_type = source.schema["doc_id"].dataType.simpleString()
     signed = written(source.mapInArrow(_sign(n, bands, rows), f"doc_id {id_type}, text_hash long, copy binary, bands array<long>"), "signatures")
 
-    classes = written(signed.groupBy("copy").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash", "bands")).alias("one")).select("copy", "one.*"), "copies")
-    dealt = classes.select("copy", F.explode("bands").alias("band"))
-    pivots = dealt.groupBy("band").agg(F.min("copy").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    groups = components(dealt.join(pivots, "band").select("copy", "pivot"), "copy", "pivot").select(F.col("node").alias("copy"), F.col("root").alias("group"))
-
-    sizes = groups.groupBy("group").agg(F.count("*").alias("n")).select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    chosen = groups.join(sizes, "group").join(classes.select("copy", "doc_id", "text_hash"), "copy")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash", "bands"))
+    classes = written(signed.groupBy("copy").agg(first.alias("one"), F.count("*").alias("n")).select("copy", "n", "one.*"), "copies")
+    meets, placed = _candidates(classes)
+    chosen = placed.join(classes.select("copy", "doc_id", "text_hash"), "copy")
     texts = source.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
-    members = (
+    sets = (
         chosen.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-        .select("group", "copy", "blocks", "text").mapInArrow(_gram_rows(n), "group binary, copy binary, blocks int, grams binary")
+        .select("group", "copy", "blocks", "own", "text").mapInArrow(_gram_rows(n), "group binary, copy binary, blocks int, own int, grams binary")
     )
-    members = written(members.withColumn("own", F.pmod(F.xxhash64("copy"), "blocks").cast("int")), "members")
-    pairs = (
-        members.select("group", "copy", "own", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "copy", "grams")
-        .repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "copy")
-    )
-    found = written(pairs.mapInArrow(_verify(ratio), "copy binary, links long, root binary"), "links")
+    members = written(sets.dropDuplicates(["copy"]), "members")  # of a class's repeated rows one stands for all
+    cells = _cells(meets, placed, members).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "copy")
+    found = written(cells.mapInArrow(_verify(ratio), "copy binary, links long, root binary"), "links")
     links = found.groupBy("copy").agg(F.sum("links").alias("n_links"))
-    near = components(found.select("copy", "root"), "copy", "root").select(F.col("node").alias("copy"), "root")
+    near = written(connected_components(found, "copy", "root").select(F.col("node").alias("copy"), "root"), "near")
 
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id"))["doc_id"]
-    heads = near.join(classes.select("copy", "doc_id"), "copy").groupBy("root").agg(least.alias("class_id"))
-    linked = near.join(heads, "root").select("copy", "class_id").join(links, "copy")
+    heads = written(near.join(classes.select("copy", "doc_id"), "copy").groupBy("root").agg(least.alias("class_id"), F.count("*").alias("n")), "heads")
+    linked = join_heavy(near, heads.drop("n"), ["root"], heavy_keys(heads, ["root"]), "inner").select("copy", "class_id").join(links, "copy")
     labels = classes.select("copy", F.col("doc_id").alias("copy_id")).join(linked, "copy", "left").select(
         "copy", "copy_id", F.when(F.col("n_links").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    return signed.select("doc_id", "text_hash", "copy").join(labels, "copy").select("doc_id", "class_id", "copy_id", "n_links", "text_hash")
+    labels = written(labels, "labels")
+    return join_heavy(signed.select("doc_id", "text_hash", "copy"), labels, ["copy"], heavy_keys(classes, ["copy"]), "inner").select("doc_id", "class_id", "copy_id", "n_links", "text_hash")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the near duplicates of its class head (the least doc_id), all its columns kept."""
-    from pyspark.sql import Window
+    """docs without the near duplicates of its class head (the least doc_id), all its columns kept.
 
+    Rows of the same id and text are one document; of them the first by all columns, written as JSON, stays. Where the
+    head's id names several texts of its class, each stays. Null and
+    empty texts are copies of each other: one of them stays. No rows: no rows.
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     heads = jaccard_classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash").distinct()
     rows = as_rows(docs).select("row", F.col("row")[id_col].alias("id"), F.xxhash64(F.col("row")[text_col]).alias("hash"))
     kept = rows.join(heads, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_semi")
-    once = Window.partitionBy("id", "hash").orderBy(F.lit(0))
+    once = Window.partitionBy("id", "hash").orderBy(F.to_json("row"))
     return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")

@@ -12,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, license_scan, ngram_join, packing, toxicity, warc_archive
-from fieldloom.llm.components import components
 from fieldloom.llm.queries import tokenizer_path
 
 WORD = tokenizer_path("word_bpe_49k.json")
@@ -68,6 +67,43 @@ def test_lemma_bound_never_misses():
         assert search(text), trial
 
 
+def test_groups_of_items(spark, monkeypatch):
+    """One group of items or many, one reading or several, and ids of other types: the same regions."""
+    items = [(f"i{k}", prose(k, 30)) for k in range(12)]
+    rows = [(k, f"{prose(100 + k, 40)} {items[k % 12][1]} {prose(200 + k, 40)}") for k in range(24)] + [(50, prose(50, 60))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string").withColumn("item_id", F.col("item_id").cast("binary"))
+    found = lambda: sorted((r["doc_id"], bytes(r["item_id"]), r["start"], r["end"]) for r in decontaminate.find_leaks(docs, bench).collect())
+    whole = found()
+    assert {(d, i) for d, i, *_ in whole} >= {(k, f"i{k % 12}".encode()) for k in range(24)}
+    monkeypatch.setattr(decontaminate, "GROUP_CHARS", 500)
+    monkeypatch.setattr(decontaminate, "HELD_CHARS", 2000)
+    assert found() == whole
+    monkeypatch.setattr(decontaminate, "SENT_CHARS", 1000)
+    assert found() == whole
+
+
+def test_edit_distances_in_bits():
+    rng = random.Random(2)
+    for _ in range(300):
+        item, text = ("".join(rng.choices("ab", k=rng.randint(1, 12))) for _ in range(2))
+        k, code = rng.randint(0, 3), lambda s: np.array(list(map(ord, s)), "<u4")
+        want = edit_distance_anywhere(item, text) <= k
+        assert decontaminate.holds(decontaminate.masks(code(item)), len(item), code(text), k) == want
+        assert (decontaminate.align(code(item), code(text), k) is not None) == want
+
+
+def test_many_short_items_take_little_memory():
+    import tracemalloc
+
+    items = [(k, prose(k, 6)[:24].ljust(24, "x")) for k in range(20_000)]
+    text = prose(-1, 4000)
+    tracemalloc.start()
+    search = decontaminate.Searcher(items, Fraction("0.1"), 20)
+    search(text)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -242,6 +278,7 @@ def test_near_duplicates(spark, monkeypatch):
             own[rng.randrange(len(own))] = f"z{k}"
         rows.append((100 + k, " ".join(own)))
     rows += [(300, "one two"), (301, "one\ttwo"), (302, None), (303, ""), (None, rows[3][1]), (5, rows[5][1])]
+    rows += [rows[30], rows[30], rows[31], (901, rows[33][1])]  # repeated near copies
     got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     sets = {}
     for d, t in rows:
@@ -274,10 +311,21 @@ def test_bands():
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
 
 
-def test_components(spark):
-    edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert len({got[k] for k in range(41)}) == 1 and len({got[k] for k in range(100, 160)}) == 1 and got[0] != got[100]
+def test_kept_row_of_equal_ones(spark):
+    rows = [(1, "a b c d e f", "y"), (1, "a b c d e f", "x"), (2, None, "z"), (3, "", "w"), (None, "a b c d e f", "v")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, copy string").repartition(3))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", "x"), (2, None, "z")]
+
+
+def test_recall_of_bands(spark):
+    """Pairs at the threshold and just above it, which the bands must find at the promised rate."""
+    rng, rows = random.Random(4), []
+    for k in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:92], "changed", *words[93:]]))]  # 95 of 105 n-grams shared
+        assert 5 * 95 >= 4 * 105
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count()
+    assert got >= 0.99 * len(rows)
 
 
 def test_pipeline(spark, tmp_path):
