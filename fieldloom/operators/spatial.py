@@ -43,32 +43,72 @@ def points(df: DataFrame, key: str, x: str = "x", y: str = "y") -> Boxes:
     return Boxes(df, key, x, y, x, y)
 
 
-def _cells(bounds: DataFrame, size: float, side: str) -> DataFrame:
-    cell = lambda c: F.floor(F.col(c) / size).cast("bigint")
-    xs = bounds.withColumn("cx", F.explode(F.sequence(cell("gx0"), cell("gx1"))))
-    return xs.withColumn("cy", F.explode(F.sequence(cell("gy0"), cell("gy1")))).withColumnsRenamed({"gx0": f"{side}_gx0", "gy0": f"{side}_gy0"}).drop("gx1", "gy1")
+#: Cells along a box's side beyond which boxes are dealt to cells of twice, four times ... the size.
+WIDE = 4
 
 
-def cell_size(*sides: Boxes, least: float = 1.0) -> float:
-    """Twice the mean extent of the larger boxes' side, or the extent over the square root of the count for points."""
+def _cells(bounds: DataFrame, size: float, side: str, levels: list[int], others: list[int]) -> DataFrame:
+    """A row for each cell that a box touches, at its own level and at the higher ones that the other side has.
+
+    A cell of level l is size * 2^l wide; a box's level is the least at which it is at most WIDE cells wide.
+    """
+    own = _level(F.greatest(F.col("gx1") - F.col("gx0"), F.col("gy1") - F.col("gy0")), size)
+    rows = bounds.withColumn("own", own)
+    if max([*levels, *others], default=0) == 0:
+        rows = rows.withColumn("level", F.lit(0))
+    else:
+        higher = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda k: k > F.col("own"))
+        rows = rows.withColumn("level", F.explode(F.concat(F.array("own"), higher)))
+    width = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    xs = rows.withColumn("cx", F.explode(F.sequence(cell("gx0"), cell("gx1"))))
+    placed = xs.withColumn("cy", F.explode(F.sequence(cell("gy0"), cell("gy1")))).withColumnsRenamed({"gx0": f"{side}_gx0", "gy0": f"{side}_gy0"})
+    return placed.withColumn(f"{side}_own", F.col("own") == F.col("level")).drop("gx1", "gy1", "own")
+
+
+def _level(extent: Column, size: float) -> Column:
+    return F.when(extent <= WIDE * size, 0).otherwise(F.ceil(F.log2(extent / (WIDE * size)))).cast("int")
+
+
+def _extents(s: Boxes) -> tuple[float, float, float, float, int]:
+    """Mean width and height, the whole extent, the largest side, the number of boxes."""
+    w, h = F.col(s.xmax) - F.col(s.xmin), F.col(s.ymax) - F.col(s.ymin)
+    r = s.df.agg(F.avg(w), F.avg(h), F.greatest(F.max(s.xmax) - F.min(s.xmin), F.max(s.ymax) - F.min(s.ymin)), F.max(F.greatest(w, h)), F.count(F.when(w.isNotNull() & h.isNotNull(), 1))).first()
+    return tuple(r) if r[4] else (0.0, 0.0, 0.0, 0.0, 0)
+
+
+def _fitting(extents: list[tuple], least: float) -> float:
     best = least
-    for s in sides:
-        w, h, x0, x1, y0, y1, n = s.df.agg(
-            F.avg(F.col(s.xmax) - F.col(s.xmin)), F.avg(F.col(s.ymax) - F.col(s.ymin)), F.min(s.xmin), F.max(s.xmax), F.min(s.ymin), F.max(s.ymax), F.count("*"),
-        ).first()
+    for w, h, whole, _, n in extents:
         if n:
-            best = max(best, 2.0 * max(w, h), max(x1 - x0, y1 - y0) / max(1.0, math.sqrt(n)))
+            best = max(best, 2.0 * max(w, h), whole / max(1.0, math.sqrt(n)))
     return float(best)
 
 
+def cell_size(*sides: Boxes, least: float = 1.0) -> float:
+    """Twice the mean extent of the larger boxes' side, or the extent over the square root of the count for points."""
+    return _fitting([_extents(s) for s in sides], least)
+
+
 def candidates(left: Boxes, right: Boxes, size: float | None = None, within: float = 0.0) -> DataFrame:
-    """Pairs of ids and bounds whose boxes, the left ones grown by `within`, meet. Each pair once."""
-    size = size or cell_size(left, right, least=max(within, 1e-9))
-    a, b = _cells(left.bounds("left", within), size, "left"), _cells(right.bounds("right"), size, "right")
-    here = (F.floor(F.greatest("left_gx0", "right_gx0") / size) == F.col("cx")) & (F.floor(F.greatest("left_gy0", "right_gy0") / size) == F.col("cy"))
+    """Pairs of ids and bounds whose boxes, the left ones grown by `within`, meet. Each pair once.
+
+    A box much larger than the others is dealt to wider cells, where the small ones visit it, so that no box has many
+    cells; a pair meets at the level of its larger box.
+    """
+    extents = [_extents(left), _extents(right)]
+    size = size or _fitting(extents, max(within, 1e-9))
+    sides = [left.bounds("left", within), right.bounds("right")]
+    levels: list[list[int]] = [[0], [0]]
+    if max(e[3] for e in extents) + 2 * within > WIDE * size:
+        extent = F.greatest(F.col("gx1") - F.col("gx0"), F.col("gy1") - F.col("gy0"))
+        levels = [sorted(r[0] for r in df.select(_level(extent, size).alias("k")).where("k is not null").distinct().collect()) for df in sides]  # a few dozen at most
+    a, b = _cells(sides[0], size, "left", levels[0], levels[1]), _cells(sides[1], size, "right", levels[1], levels[0])
+    width = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    here = (F.floor(F.greatest("left_gx0", "right_gx0") / width) == F.col("cx")) & (F.floor(F.greatest("left_gy0", "right_gy0") / width) == F.col("cy")) & (F.col("left_own") | F.col("right_own"))
     w = F.lit(float(within))
     meet = (F.col("left_x0") - w <= F.col("right_x1")) & (F.col("right_x0") <= F.col("left_x1") + w) & (F.col("left_y0") - w <= F.col("right_y1")) & (F.col("right_y0") <= F.col("left_y1") + w)
-    return a.join(b, ["cx", "cy"]).where(here & meet).drop("cx", "cy", "left_gx0", "left_gy0", "right_gx0", "right_gy0")
+    return a.join(b, ["level", "cx", "cy"]).where(here & meet).drop("level", "cx", "cy", "left_own", "right_own", "left_gx0", "left_gy0", "right_gx0", "right_gy0")
 
 
 def intersection_area() -> Column:
