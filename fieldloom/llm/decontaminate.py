@@ -4,7 +4,8 @@ Texts and items are compared in lower case with runs of white space as one blank
 edits of an item of m characters shares at least m + 1 - q - k * q of its q-grams, and these lie on diagonals (place in
 the text less place in the item) no more than k apart. Shared q-grams are counted in overlapping bands of diagonals of
 twice that width, each starting k + 1 after the one before, so that every window of k + 1 diagonals lies within one
-band. Bands that reach the bound are verified by banded alignment of the item with the text around them.
+band. Bands in which as many of the item's q-grams occur are verified by banded alignment: bit-parallel edit distances
+of the item along the band's text tell whether a region is there, and a table of costs tells where it begins and ends.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import as_rows, bounded_batches, written
 
-#: Characters of items that one task group compares texts with; larger benchmarks are dealt into groups of this size.
-GROUP_CHARS = 400_000
+#: Characters of items whose q-grams a worker holds at a time (about 30 bytes each); larger benchmarks are dealt into groups.
+GROUP_CHARS = 4_000_000
+#: Characters of texts that a worker holds to search them for one group after the other.
+HELD_CHARS = 8_000_000
+#: Characters of items that go to the tasks at once; only beyond that are the documents read again.
+SENT_CHARS = 32_000_000
 #: Characters of a text that are searched at a time, besides the overlap.
 WINDOW = 65_536
 #: Largest q; the bound must stay above zero, so that items with a tight budget per character take less.
@@ -71,6 +77,7 @@ class Item:
     edits: int
     q: int
     least: int
+    masks: dict[int, int]
 
 
 def plan(item_id: object, text: str, rate: Fraction, shortest: int) -> Item | None:
@@ -81,10 +88,37 @@ def plan(item_id: object, text: str, rate: Fraction, shortest: int) -> Item | No
         return None
     for q in range(min(LARGEST_Q, m), 0, -1):
         if (least := m + 1 - q - k * q) >= max(1, (m + 1 - q) // 8):
-            return Item(item_id, c, k, q, least)
+            return Item(item_id, c, k, q, least, masks(c))
     return None
 
 
+def masks(chars: np.ndarray) -> dict[int, int]:
+    """For each character the item's places that hold it, as bits."""
+    out: dict[int, int] = {}
+    for k, c in enumerate(chars.tolist()):
+        out[c] = out.get(c, 0) | 1 << k
+    return out
+
+
+def holds(at: dict[int, int], m: int, text: np.ndarray, k: int) -> bool:
+    """Whether a part of the text is within k edits of the item: costs of the last row by vertical differences in bits."""
+    every, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, cost = every, 0, m
+    for c in text.tolist():
+        same = at.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = (down | ~(diagonal | up)) & every, up & diagonal
+        if right & last:
+            cost += 1
+        elif left & last:
+            cost -= 1
+            if cost <= k:
+                return True
+        right = (right << 1) & every
+        down, up = right & (same | down), ((left << 1) | ~(right | same | down)) & every
+    return m <= k
+
+
 def align(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the part of text nearest to the item, the first of exact ones, or None beyond k edits."""
     n, raw, own = len(text), text.tobytes(), item.tobytes()
@@ -118,27 +152,28 @@ class Searcher:
         self.items = [p for i, t in items if (p := plan(i, t or "", rate, shortest))]
         self.tables = []
         self.width = np.array([p.edits + 1 for p in self.items], np.int64)
+        self.least = np.array([p.least for p in self.items], np.int64)
         self.longest = max((len(p.chars) + p.edits for p in self.items), default=0)
         for q in sorted({p.q for p in self.items}):
             own = [k for k, p in enumerate(self.items) if p.q == q]
             codes = [grams(self.items[k].chars, q) for k in own]
             code = np.concatenate(codes)
-            owner = np.repeat(own, [len(c) for c in codes])
-            place = np.concatenate([np.arange(len(c)) for c in codes])
+            owner = np.repeat(np.array(own, np.int32), [len(c) for c in codes])
+            place = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes])
             order = np.argsort(code, kind="stable")
-            bits = max(16, int(len(code) * 16).bit_length())
-            shift = np.uint64(64 - bits)
-            filled = np.zeros(1 << bits, bool)
+            shift = np.uint64(64 - max(16, int(len(code) * 8).bit_length()))
+            filled = np.zeros(1 << (64 - int(shift)), bool)
             filled[(code >> shift).astype(np.int64)] = True
-            self.tables.append((q, code[order], owner[order], place[order], filled, shift, min(self.items[k].least for k in own)))
+            self.tables.append((q, code[order], owner[order], place[order], filled, shift))
 
     def hits(self, c: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first diagonal, last diagonal) of bands that reach the item's bound.
 
-        Hits are counted in bands of k + 1 diagonals; two neighbours make one of the overlapping bands. A q-gram that an
-        item has twice may count twice, which only adds bands to verify.
+        Hits are counted in bands of k + 1 diagonals, only those that have any; two neighbours make one of the overlapping
+        bands. In a band that reaches the bound, each of the item's q-grams counts once.
         """
-        for q, code, owner, place, filled, shift, lowest in self.tables:
+        reach = self.longest
+        for q, code, owner, place, filled, shift in self.tables:
             g = grams(c, q)
             at = np.flatnonzero(filled[(g >> shift).astype(np.int64)]) if len(g) else g
             if not len(at):
@@ -148,18 +183,22 @@ class Searcher:
             if not len(n):
                 continue
             rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            item = owner[rows]
-            reach = self.longest
-            band = (np.repeat(at + reach, n) - place[rows]) // self.width[item]
-            per = (len(c) + 2 * reach) // self.width + 2
-            base = np.cumsum(per) - per
-            count = np.bincount(base[item] + band, minlength=int(per.sum()))
-            count[:-1] += count[1:]
-            full = np.flatnonzero(count >= lowest)
-            for at_bin, k in zip(full.tolist(), (np.searchsorted(base, full, "right") - 1).tolist(), strict=True):
-                if self.items[k].q == q and count[at_bin] >= self.items[k].least:
-                    low = (at_bin - int(base[k])) * int(self.width[k]) - reach
-                    yield k, low, low + 2 * int(self.width[k]) - 1
+            item, own = owner[rows].astype(np.int64), place[rows]
+            stride = len(c) + 2 * reach + 2
+            key = item * stride + (np.repeat(at + reach, n) - own) // self.width[item]
+            order = np.argsort(key, kind="stable")
+            key, own = key[order], own[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            bands, stop = key[first], np.append(first[1:], len(key))
+            both = stop.copy()  # the end of the next band, if it is a neighbour
+            near = np.flatnonzero(np.diff(bands) == 1)
+            both[near] = stop[near + 1]
+            item = bands // stride
+            for k in np.flatnonzero(both - first >= self.least[item]).tolist():
+                i = int(item[k])
+                if len(np.unique(own[first[k] : both[k]])) >= self.least[i]:
+                    low = int(bands[k] % stride) * int(self.width[i]) - reach
+                    yield i, low, low + 2 * int(self.width[i]) - 1
 
     def windows(self, n: int) -> Iterator[tuple[int, int]]:
         """Overlapping parts of a text, so that every region lies within one."""
@@ -177,7 +216,7 @@ class Searcher:
                 a, b = max(0, begin + low - p.edits), min(len(c), begin + high + len(p.chars) + p.edits)
                 if any(begin + low - p.edits <= s <= begin + high + p.edits for _, s, _ in found.get(item, ())):
                     continue  # the neighbouring band's find: another one here would overlap it
-                if a < b and (hit := align(p.chars, c[a:b], p.edits)):
+                if a < b and holds(p.masks, len(p.chars), c[a:b], p.edits) and (hit := align(p.chars, c[a:b], p.edits)):
                     found.setdefault(item, []).append((hit[2], a + hit[0], a + hit[1]))
         out = []
         for item, hits in found.items():
@@ -191,20 +230,53 @@ class Searcher:
         return sorted(out, key=lambda x: (x[1], x[2], str(x[0])))
 
 
-def _search(rows: list[tuple[object, str]], rate: Fraction, shortest: int, id_type: pa.DataType, item_type: pa.DataType):
+def _search(groups: list[list[tuple[object, str]]], rate: Fraction, shortest: int, item_type: pa.DataType):
+    """Documents are read once: with several groups of items, a share of them is held while each group goes by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Searcher(rows, rate, shortest)
-        for batch in batches:
+        def found(search: Searcher, batch: pa.RecordBatch) -> pa.RecordBatch:
             out = [(k, *hit) for k, t in enumerate(batch.column(1).to_pylist()) if t for hit in search(t)]
             columns = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], item_type), *(pa.array(x, pa.int32()) for x in columns[2:])],
                 ["doc_id", "item_id", "start", "end", "edits", "item_chars"],
             )
 
+        if len(groups) == 1:
+            search = Searcher(groups[0], rate, shortest)
+            for batch in batches:
+                yield found(search, batch)
+            return
+        held: list[pa.RecordBatch] = []
+
+        def searched() -> Iterator[pa.RecordBatch]:
+            for rows in groups if held else ():
+                search = Searcher(rows, rate, shortest)
+                for batch in held:
+                    yield found(search, batch)
+            held.clear()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) > HELD_CHARS:
+                yield from searched()
+        yield from searched()
+
     return run
 
 
+def _dealt(rows: list[tuple[object, str]], size: int) -> list[list[tuple[object, str]]]:
+    """The rows in groups of about size characters."""
+    groups, room = [[]], size
+    for row in rows:
+        if room < 0:
+            groups.append([])
+            room = size
+        groups[-1].append(row)
+        room -= len(row[1])
+    return groups
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, rate: str = "0.1", shortest: int = 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -213,30 +285,32 @@ def find_leaks(
 
     start and end (exclusive) are code points of the document's text. Null, empty and shorter items than `shortest`
     characters are not searched; items with equal texts are found each; repeated documents have their rows each; null
-    and empty texts have none. The benchmark is checked for its size: up to GROUP_CHARS characters go to every task at
-    once, larger ones group by group.
+    and empty texts have none. Ids are of any type that Arrow has. The benchmark is checked for its size: a worker holds
+    the q-grams of GROUP_CHARS of its characters at a time, and up to SENT_CHARS the documents are read once.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where(F.length("text") >= shortest)
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    groups = max(1, -(-total[0] // GROUP_CHARS))
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // SENT_CHARS))
     id_type, item_type = (df.schema[c].dataType for df, c in ((source, "doc_id"), (items, "item_id")))
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type.simpleString()]
     schema = f"doc_id {id_type.simpleString()}, item_id {item_type.simpleString()}, start int, end int, edits int, item_chars int"
     found = None
-    for g in range(groups):
-        part = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
+    for k in range(passes):
+        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
         rows = sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (str(r[0]), r[1]))
-        one = source.mapInArrow(_search(rows, Fraction(rate), shortest, None, arrow), schema)
-        one = one if groups == 1 else written(one, f"leaks-{g}")
+        one = source.mapInArrow(_search(_dealt(rows, GROUP_CHARS), Fraction(rate), shortest, to_arrow_type(item_type)), schema)
+        one = one if passes == 1 else written(one, f"leaks-{k}")
         found = one if found is None else found.unionByName(one)
     return found
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: str = "0.1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that hold a region near an item. Rows with a null id are judged by their text."""
+    """docs, all columns, without the rows that hold a region near an item. Rows with a null id are judged by their text.
+
+    Null and empty texts stay, repeated rows share their verdict; an empty benchmark drops nothing; no rows: no rows.
+    """
     row = F.col("row")
     key = F.concat_ws(":", F.coalesce(row[id_col].cast("string"), F.lit("null")), F.xxhash64(row[text_col]).cast("string"))
     keyed = as_rows(docs).withColumn("key", key)
