@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..contracts import finite, missing, refuse_rows, require
 from .table import numeric_columns
@@ -159,3 +164,37 @@ def equal_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     lo, hi = df.agg(F.min(v), F.max(v)).first()
     require(lo is not None and lo < hi, "bins need more than one distinct value")
     return df.where(v.isNotNull()).groupBy(F.least(F.lit(bins - 1), F.floor((v - lo) / ((hi - lo) / bins))).cast("int").alias("bin")).agg(F.count("*").alias("cnt"))
+
+
+def _to_float(exponents: list[int], sums: list[Decimal]) -> float:
+    total = sum((Fraction(int(m)) * Fraction(2) ** e for e, m in zip(exponents, sums, strict=True)), Fraction(0))
+    try:
+        return float(total)
+    except OverflowError:  # beyond the largest double
+        return float("inf") if total > 0 else float("-inf")
+
+
+@F.pandas_udf(DoubleType())
+def _rounded_once(terms: pd.Series) -> pd.Series:
+    return terms.map(lambda own: None if own is None or not len(own) else _to_float([t["e"] for t in own], [t["m"] for t in own]))
+
+
+def exact_sum(df: DataFrame, by: list[str], value: str, name: str = "total") -> DataFrame:
+    """by, name: the sum of finite doubles, rounded once, whatever their order; null if a group has none.
+
+    A double is a whole number times a power of two; the whole numbers are summed by power, of which there are about two
+    thousand, and only these sums of a group are added as fractions.
+    """
+    v = F.col(value).cast("double")
+    usable = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+    power = F.greatest(F.floor(F.log2(F.abs(v))) - 54, F.lit(-1074)).cast("int")
+    half = F.floor(power / 2).cast("int")
+    whole = (v * F.pow(F.lit(2.0), (-half).cast("double")) * F.pow(F.lit(2.0), (half - power).cast("double"))).cast("decimal(20,0)")
+    terms = df.where(usable & (v != 0)).select(*by, power.alias("e"), whole.alias("m")).groupBy(*by, "e").agg(F.sum("m").alias("m"))
+    sums = terms.groupBy(*by).agg(F.collect_list(F.struct("e", "m")).alias("terms")).select(*by, _rounded_once("terms").alias("_sum"))
+    groups = df.groupBy(*by).agg(F.count(F.when(usable, 1)).alias("_n"))
+    if not by:
+        return groups.join(sums, how="left").select(F.when(F.col("_n") > 0, F.coalesce("_sum", F.lit(0.0))).alias(name))
+    same = [groups[b].eqNullSafe(sums[b]) for b in by]
+    joined = groups.join(sums, same, "left")
+    return joined.select(*(groups[b] for b in by), F.when(F.col("_n") > 0, F.coalesce("_sum", F.lit(0.0))).alias(name))

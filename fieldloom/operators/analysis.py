@@ -195,11 +195,3 @@ def greedy_colours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         done = written(done.unionByName(free), "colours")
         left = written(degree.select("node").join(done, "node", "left_anti"), "uncoloured")
     return done
-
-
-def walk_seconds(slope: float, distance: float, a: float, b: float, c: float, d: float, factor: float) -> float:
-    """Seconds of a step: a by metre, b uphill, c moderately downhill, d steeply downhill, by metre of height."""
-    dh = slope * distance
-    climb = b * dh if dh > 0 else (d if slope < factor else c) * dh
-    return a * distance + climb
-

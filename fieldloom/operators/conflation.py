@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..contracts import require
+from ..contracts import refuse_rows, require
+from ..sources.scratch import written
 from .spatial import Boxes, candidates
 
 
@@ -93,3 +94,87 @@ def helmert(pairs: DataFrame) -> dict[str, float]:
     a, b = s["p"] / s["r"], s["q"] / s["r"]
     rms = math.sqrt(max(0.0, s["t"] - (a * a + b * b) * s["r"]) / m["n"])
     return {"a": a, "b": b, "tx": m["u"] - a * m["x"] + b * m["y"], "ty": m["v"] - b * m["x"] - a * m["y"], "rms": rms}
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Content hash of a table: equal for equal rows in any order and partitions, repeated rows count."""
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    part = lambda salt: F.sum(F.xxhash64(row, F.lit(salt)).cast("decimal(38,0)"))
+    r = df.agg(F.count("*").alias("n"), part(1).alias("a"), part(2).alias("b")).first()
+    return f"{r['n']}:{int(r['a'] or 0) % (1 << 64):016x}{int(r['b'] or 0) % (1 << 64):016x}"
+
+
+def approved_transfer(left: DataFrame, right: DataFrame, matches: DataFrame, selections: DataFrame, fields: list[str], approved_by: str, left_print: str, right_print: str, key: str = "id") -> DataFrame:
+    """transfer() of pairs approved for just these two tables: a missing name or a stale fingerprint is refused."""
+    require(bool(approved_by) and fingerprint(left) == left_print and fingerprint(right) == right_print, "missing or stale approval")
+    return transfer(left, right, matches, selections, fields, key)
+
+
+def edge_match(lines: DataFrame, reference: DataFrame, approved: DataFrame, max_move: float, key: str = "id", line: str = "line") -> DataFrame:
+    """key, line: lines whose approved ends lie where the reference lines' ends do, and all ends that coincided with them.
+
+    lines, reference: a line is ARRAY<STRUCT<x, y>>. approved: source_id, source_end, target_id, target_end (0: first, -1:
+    last vertex). Refused: unknown ids, two targets for one place, moves beyond max_move, lines that collapse, and
+    crossings that come or go.
+    """
+    at = lambda c, end: F.element_at(c, F.when(F.col(end) == 0, 1).otherwise(-1))
+    a = lines.select(F.col(key).alias("source_id"), F.col(line).alias("_a"))
+    b = reference.select(F.col(key).alias("target_id"), F.col(line).alias("_b"))
+    pairs = approved.join(a, "source_id", "left").join(b, "target_id", "left").select(at(F.col("_a"), "source_end").alias("p"), at(F.col("_b"), "target_end").alias("q"))
+    refuse_rows(pairs, **{"unknown seam id": F.col("p").isNull() | F.col("q").isNull(), "move beyond the limit": F.hypot(F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y")) > max_move})
+    moves = written(pairs.distinct(), "seams")
+    require(moves.groupBy("p").count().where("count > 1").isEmpty(), "conflicting targets for one place")
+    first, last = moves.select(F.col("p").alias("_p0"), F.col("q").alias("_q0")), moves.select(F.col("p").alias("_p1"), F.col("q").alias("_q1"))
+    rows = lines.select(F.col(key).alias("_id"), F.col(line).alias("_l")).join(first, F.element_at("_l", 1) == F.col("_p0"), "left").join(last, F.element_at("_l", -1) == F.col("_p1"), "left")
+    inner = F.slice("_l", F.lit(2), F.size("_l") - 2)
+    moved = rows.select("_id", F.concat(F.array(F.coalesce("_q0", F.element_at("_l", 1))), inner, F.array(F.coalesce("_q1", F.element_at("_l", -1)))).alias("_l"))
+    moved = written(moved, "seam-lines")
+    refuse_rows(moved, **{"collapsed line": F.size(F.array_distinct("_l")) < 2})
+    old = crossings(lines.select(F.col(key).alias("_id"), F.col(line).alias("_l")), "_id", "_l")
+    new = crossings(moved, "_id", "_l")
+    require(old.join(new, ["a", "b"], "left_anti").isEmpty() and new.join(old, ["a", "b"], "left_anti").isEmpty(), "the seam changes crossings")
+    return moved.select(F.col("_id").alias(key), F.col("_l").alias(line))
+
+
+def segments(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """id, segment, x1, y1, x2, y2 of every step of every line."""
+    steps = F.zip_with(F.slice(F.col(line), F.lit(1), F.size(line) - 1), F.slice(F.col(line), F.lit(2), F.size(line)), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+    return lines.where(F.size(line) > 1).select(F.col(key).alias("id"), F.posexplode(steps).alias("segment", "s")).select("id", "segment", "s.*")
+
+
+def crossings(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """a, b: pairs of lines (a < b) whose segments cross at a point within both."""
+    from .polygons import _cross
+
+    own = written(segments(lines, key, line).withColumn("_k", F.monotonically_increasing_id()), "segments")
+    box = own.select("_k", F.least("x1", "x2").alias("xmin"), F.least("y1", "y2").alias("ymin"), F.greatest("x1", "x2").alias("xmax"), F.greatest("y1", "y2").alias("ymax"))
+    near = candidates(Boxes(box, "_k"), Boxes(box, "_k")).where("left_id < right_id").select("left_id", "right_id")
+    one = lambda name: own.select(F.col("_k").alias(f"{name}_id"), F.col("id").alias(f"{name}_line"), F.struct("x1", "y1", "x2", "y2").alias(f"{name}_e"))
+    both = near.join(one("left"), "left_id").join(one("right"), "right_id").where("left_line != right_line").where(_cross(F.col("left_e"), F.col("right_e")))
+    return both.select(F.least("left_line", "right_line").alias("a"), F.greatest("left_line", "right_line").alias("b")).distinct()
+
+
+def adopt(before: DataFrame, after: DataFrame, key: str, approved_by: str, before_print: str, after_print: str, max_area_change: float, max_move: float, parts: str = "parts", allow_structure_change: bool = False) -> DataFrame:
+    """before with the polygons of after, attributes unchanged, if the approval is for just these tables and the change small.
+
+    Refused: stale fingerprints, other ids, a change of area or of any vertex's distance to the other boundary beyond the
+    limits, and other numbers of parts or rings unless these are allowed.
+    """
+    from .polygons import area, edges
+
+    require(bool(approved_by) and fingerprint(before) == before_print and fingerprint(after) == after_print, "missing or stale approval")
+    a = before.select(F.col(key).alias("_id"), F.col(parts).alias("_a"))
+    b = after.select(F.col(key).alias("_id"), F.col(parts).alias("_b"))
+    both = a.join(b, "_id", "full_outer").withColumn("_ea", edges(F.col("_a"))).withColumn("_eb", edges(F.col("_b")))
+
+    def far(own: str, other: str) -> Column:
+        """The largest distance of a vertex to the other boundary, squared."""
+        reach = lambda e: F.array_min(F.transform(other, lambda f: _point_segment2(e["x1"], e["y1"], f["x1"], f["y1"], f["x2"], f["y2"])))
+        return F.array_max(F.transform(own, reach))
+
+    rings = lambda c: F.transform(F.col(c), lambda part: F.size(part))
+    refuse_rows(both, **{
+        "other ids": F.col("_a").isNull() | F.col("_b").isNull(), "area change": F.abs(area(F.col("_ea")) - area(F.col("_eb"))) > max_area_change,
+        "moved too far": F.greatest(far("_ea", "_eb"), far("_eb", "_ea")) > max_move * max_move, "structure change": (rings("_a") != rings("_b")) & F.lit(not allow_structure_change),
+    })
+    return before.drop(parts).join(after.select(key, parts), key).select(*before.columns)

@@ -60,7 +60,7 @@ def od_costs(arc: DataFrame, origins: DataFrame, origin: str = "origin", budget:
 def od_matrix(arc: DataFrame, origins: DataFrame, destinations: DataFrame) -> DataFrame:
     """origin, dest, cost, status for all pairs asked for: reachable or unreachable. The pairs are the result itself."""
     costs = od_costs(arc, origins)
-    asked = origins.select("origin").distinct().join(F.broadcast(destinations.select("dest").distinct()), how="cross")
+    asked = origins.select("origin").distinct().join(destinations.select("dest").distinct(), how="cross")
     found = costs.select("origin", F.col("node").alias("dest"), "cost")
     return asked.join(found, ["origin", "dest"], "left").select("origin", "dest", "cost", F.when(F.col("cost").isNull(), "unreachable").otherwise("reachable").alias("status"))
 

@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import missing, refuse_rows, require, require_columns, require_new, stable_id
-from ..functions.text import normalize_id
+from ..functions.text import normalize_id, number_key
 
 
 def join_key(df: DataFrame, name: str, normalize: str) -> Column:
     require_columns(df, name)
     require(normalize in ("none", "id"), "normalize must be none or id")
-    return normalize_id(F.col(name)) if normalize == "id" else F.col(name).cast("string")
+    if normalize == "none":
+        return F.col(name).cast("string")
+    floating = df.schema[name].dataType.typeName() in ("float", "double")
+    return number_key(F.col(name)) if floating else normalize_id(F.col(name))
 
 
 def keyed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, normalize: str = "none", how: str = "left") -> DataFrame:

@@ -486,3 +486,86 @@ def contours(cells: DataFrame, levels: list[float]) -> DataFrame:
         .otherwise(F.array(F.struct(crossed[0].alias("p"), crossed[3].alias("s")), F.struct(crossed[1].alias("p"), crossed[2].alias("s")))),
     )
     return sq.select("level", F.inline(pairs).alias("p", "s")).select("level", F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("s.x").alias("x1"), F.col("s.y").alias("y1"))
+
+
+def clip(cells: DataFrame, grid: Grid, zones: DataFrame, key: str, method: str = "center", invert: bool = False) -> DataFrame:
+    """cells with NoData outside the boxes (inside them when inverted)."""
+    taken = zone_cells(grid, zones, key, method).select(*CELL).distinct().withColumn("_in", F.lit(True))
+    kept = F.col("_in").isNull() if invert else F.col("_in")
+    return cells.select(*CELL, "value").join(taken, CELL, "left").select(*CELL, F.when(kept, F.col("value")).alias("value"))
+
+
+def calibrate(cells: DataFrame, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
+    """value * scale + offset; what isn't finite before is NoData, a result that isn't is refused."""
+    v = F.when(finite("value").isNotNull(), F.col("value").cast("double")) * F.lit(float(scale)) + F.lit(float(offset))
+    out = cells.select(*CELL, v.alias("value"))
+    refuse_rows(out, **{"calibration overflow": F.abs("value") == F.lit(float("inf"))})
+    return out
+
+
+def stack(bands: list[DataFrame]) -> DataFrame:
+    """row, col, band_1, band_2 ...: cells that any band has, one pass over all bands."""
+    require(bool(bands), "no bands")
+    both = None
+    for k, b in enumerate(bands):
+        one = b.select(*CELL, F.lit(k + 1).alias("_band"), "value")
+        both = one if both is None else both.unionByName(one)
+    return both.groupBy(*CELL).agg(*(F.max(F.when(F.col("_band") == k + 1, F.col("value"))).alias(f"band_{k + 1}") for k in range(len(bands))))
+
+
+def split_bands(stacked: DataFrame) -> DataFrame:
+    """band, row, col, value of a stack's bands, NoData included."""
+    names = [c for c in stacked.columns if c.startswith("band_")]
+    return stacked.select(*CELL, F.inline(F.array(*(F.struct(F.lit(int(c.removeprefix("band_"))).alias("band"), F.col(c).alias("value")) for c in names)))).select("band", *CELL, "value")
+
+
+def walk_arcs(heights: DataFrame, friction: DataFrame, grid: Grid, coefficients: tuple[float, float, float, float], slope_factor: float, weight: float = 1.0) -> DataFrame:
+    """arc, u, v, cost between the eight neighbours of cells that have a height and a friction; a cell is row * cols + col.
+
+    Seconds by metre on the level, uphill, moderately and steeply downhill (beyond the slope factor), and the mean friction
+    by metre times its weight.
+    """
+    a, b, c, d = coefficients
+    here = heights.where("value is not null").select(*CELL, F.col("value").alias("z")).join(friction.where("value is not null").select(*CELL, F.col("value").alias("f")), CELL)
+    steps = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc))
+    out = here.select("row", "col", "z", "f", F.inline(steps)).select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("z").alias("z0"), F.col("f").alias("f0"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
+    both = out.join(here, CELL)
+    distance = F.sqrt(F.pow((F.col("row") - F.col("r0")) * grid.dy, F.lit(2.0)) + F.pow((F.col("col") - F.col("c0")) * grid.dx, F.lit(2.0)))
+    rise = F.col("z") - F.col("z0")
+    climb = F.when(rise >= 0, b).when(rise / distance >= slope_factor, c).otherwise(d)
+    cost = F.lit(a) * distance + climb * rise + F.lit(weight) * (F.col("f0") + F.col("f")) / 2 * distance
+    u, v = F.col("r0") * grid.cols + F.col("c0"), F.col("row") * grid.cols + F.col("col")
+    return both.select(F.concat_ws(">", u.cast("string"), v.cast("string")).alias("arc"), u.alias("u"), v.alias("v"), cost.alias("cost"))
+
+
+def flow_direction(heights: DataFrame, grid: Grid) -> DataFrame:
+    """row, col, to_row, to_col: the steepest of the eight neighbours below, ties to the first by row and column; null in pits."""
+    here = heights.where("value is not null").select(*CELL, F.col("value").alias("z"))
+    steps = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc))
+    near = here.select("row", "col", "z", F.inline(steps)).select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("z").alias("z0"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
+    distance = F.sqrt(F.pow((F.col("row") - F.col("r0")) * grid.dy, F.lit(2.0)) + F.pow((F.col("col") - F.col("c0")) * grid.dx, F.lit(2.0)))
+    drop = (F.col("z0") - F.col("z")) / distance
+    best = near.join(here, CELL).where("z < z0").groupBy("r0", "c0").agg(F.min(F.struct((-drop).alias("fall"), "row", "col")).alias("to"))
+    ends = best.select(F.col("r0").alias("row"), F.col("c0").alias("col"), F.col("to.row").alias("to_row"), F.col("to.col").alias("to_col"))
+    return here.select(*CELL).join(ends, CELL, "left")
+
+
+def flow_accumulation(direction: DataFrame) -> DataFrame:
+    """row, col, cells: how many cells, itself included, drain through each cell.
+
+    Cells without inflow hand their count on, round by round; a round ends the cells that all their inflow has reached.
+    """
+    cells = written(direction.select(F.struct("row", "col").alias("cell"), F.when(F.col("to_row").isNotNull(), F.struct(F.col("to_row").alias("row"), F.col("to_col").alias("col"))).alias("to")), "flow")
+    inflow = cells.where("to is not null").groupBy(F.col("to").alias("cell")).agg(F.count("*").alias("open"))
+    state = written(cells.join(inflow, "cell", "left").select("cell", "to", F.coalesce("open", F.lit(0)).alias("open"), F.lit(1).cast("long").alias("n")), "flow-state")
+    done = None
+    while True:
+        ready = state.where("open = 0")
+        if ready.isEmpty():
+            break
+        done = ready.select("cell", "n") if done is None else done.unionByName(ready.select("cell", "n"))
+        given = ready.where("to is not null").groupBy(F.col("to").alias("cell")).agg(F.count("*").alias("k"), F.sum("n").alias("more"))
+        state = written(state.where("open > 0").join(given, "cell", "left").select("cell", "to", (F.col("open") - F.coalesce("k", F.lit(0))).alias("open"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "flow-state")
+    if done is None:
+        return cells.select("cell.*", F.lit(0).cast("long").alias("cells"))
+    return done.select("cell.*", F.col("n").alias("cells"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_features, catalog_graph, catalog_polygons, catalog_raster, catalog_sources, catalog_spatial, catalog_tables
+from . import catalog_features, catalog_graph, catalog_polygons, catalog_raster, catalog_review, catalog_sources, catalog_spatial, catalog_tables
 
-_MODULES = (catalog_spatial, catalog_tables, catalog_raster, catalog_graph, catalog_sources, catalog_features, catalog_polygons)
+_MODULES = (catalog_spatial, catalog_tables, catalog_raster, catalog_graph, catalog_sources, catalog_features, catalog_polygons, catalog_review)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: text for m in _MODULES for name, text in m.ORACLE_SQL.items()}

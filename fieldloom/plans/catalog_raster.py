@@ -22,19 +22,19 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-#: Two partial grids: cells with missing neighbours, and cells of one only.
-_A = "a AS (SELECT CAST(l_orderkey % 64 AS INTEGER) AS \"row\", CAST(l_partkey % 64 AS INTEGER) AS col, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS value FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 2 GROUP BY ALL)"
+#: Two partial grids from all rows: cells whose sum is a multiple of three are missing.
+_A = "a AS (SELECT CAST(l_orderkey % 64 AS INTEGER) AS \"row\", CAST(l_partkey % 64 AS INTEGER) AS col, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS DOUBLE) AS value FROM lineitem GROUP BY ALL HAVING value % 3 > 0)"
 _B = _A.replace("a AS", "b AS", 1).replace("'R'", "'A'")
 _FRAME = "frame AS (SELECT CAST(r AS INTEGER) AS \"row\", CAST(c AS INTEGER) AS col FROM range(64) x(r), range(64) y(c))"
 _AB = f"WITH {_A}, {_B}, ab AS (SELECT coalesce(a.\"row\", b.\"row\") AS \"row\", coalesce(a.col, b.col) AS col, a.value AS p, b.value AS q FROM a FULL JOIN b ON a.\"row\" = b.\"row\" AND a.col = b.col)"
 
 
 def _a(spark, sf):
-    return i.cells(spark, sf, "l_returnflag = 'R' and l_linenumber <= 2")
+    return i.cells(spark, sf, value="case when l_returnflag = 'R' then cast(l_quantity as bigint) else 0 end").where("value % 3 > 0")
 
 
 def _b(spark, sf):
-    return i.cells(spark, sf, "l_returnflag = 'A' and l_linenumber <= 2")
+    return i.cells(spark, sf, value="case when l_returnflag = 'A' then cast(l_quantity as bigint) else 0 end").where("value % 3 > 0")
 
 
 def _framed(spark, sf):
