@@ -6,12 +6,13 @@ import math
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import finite, require, stable_id
 from ..sources.scratch import written
 from .graph import connected_components
+from .order import running_totals
 from .spatial import Boxes, near
 
 
@@ -57,10 +58,13 @@ def suitability(df: DataFrame, key: str, criteria: dict[str, Criterion], scenari
         rows.append(F.struct(F.lit(s["id"]).alias("scenario"), score.alias("score"), F.lit(float(s["threshold"])).alias("threshold")))
     long = base.select("id", "reasons", F.inline(F.array(*rows)))
     eligible = F.size("reasons") == 0
-    w = Window.partitionBy("scenario", eligible).orderBy(F.desc("score"))
+    # a rank is one more than the eligible with a higher score, counted over distinct scores
+    counts = long.where(eligible).groupBy("scenario", (-F.col("score")).alias("_down")).agg(F.count("*").alias("n"))
+    ranks = running_totals(counts, ["scenario"], ["_down"], "n", "above").select("scenario", "_down", (F.col("above") + 1).cast("int").alias("rank"))
+    long = long.withColumn("_down", F.when(eligible, -F.col("score"))).join(ranks, ["scenario", "_down"], "left")
     low = F.when(eligible & (F.col("score") < F.col("threshold")), F.array(F.lit("below_threshold"))).otherwise(F.array().cast("array<string>"))
     return long.select(
-        "id", "scenario", F.when(eligible, F.col("score")).alias("score"), F.when(eligible, F.rank().over(w)).alias("rank"), eligible.alias("eligible"),
+        "id", "scenario", F.when(eligible, F.col("score")).alias("score"), "rank", eligible.alias("eligible"),
         (eligible & (F.col("score") >= F.col("threshold"))).alias("selected"), F.concat("reasons", low).alias("reasons"),
     )
 
@@ -74,11 +78,10 @@ def stability(scores: DataFrame) -> DataFrame:
 
 
 def scenario_changes(scores: DataFrame, baseline: str) -> DataFrame:
-    """scenario, newly_selected, lost_selected (sorted ids) against the baseline."""
+    """scenario, id, change (newly_selected or lost_selected): the ids whose selection differs from the baseline's."""
     base = scores.where(F.col("scenario") == baseline).select("id", F.col("selected").alias("_b"))
-    j = scores.where(F.col("scenario") != baseline).join(base, "id")
-    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("id"))))
-    return j.groupBy("scenario").agg(ids(F.col("selected") & ~F.col("_b")).alias("newly_selected"), ids(~F.col("selected") & F.col("_b")).alias("lost_selected"))
+    j = scores.where(F.col("scenario") != baseline).join(base, "id").where(F.col("selected") != F.col("_b"))
+    return j.select("scenario", "id", F.when(F.col("selected"), "newly_selected").otherwise("lost_selected").alias("change"))
 
 
 def dbscan(pts: Boxes, eps: float, min_samples: int) -> DataFrame:
@@ -135,7 +138,7 @@ def false_discovery(p_values: DataFrame, key: str, p: str, alpha: float = 0.05)
     n = p_values.count()
     harmonic = sum(1.0 / k for k in range(1, n + 1)) if n < 10_000_000 else math.log(n) + 0.5772156649015329
     counts = p_values.groupBy(p).agg(F.count("*").alias("c"))  # ranks by distinct value, summed over few rows
-    ranks = counts.withColumn("rank", F.sum("c").over(Window.orderBy(p)))
+    ranks = running_totals(counts, [], [p], "c", "before").withColumn("rank", F.col("before") + F.col("c"))
     cut = ranks.where(F.col(p) <= F.col("rank") * alpha / (n * harmonic)).agg(F.max(p)).first()[0]
     return p_values.select(key, p, (F.col(p) <= F.lit(cut)).alias("significant") if cut is not None else F.lit(False).alias("significant"))
 
@@ -159,15 +162,20 @@ def permutation_p(pts: Boxes, value: str, radius: float, permutations: int, seed
     return hits.select(F.lit(permutations).alias("permutations"), "moran_i", ((F.least("h", permutations - F.col("h")) + 1) / (permutations + 1)).alias("p_value"))
 
 
-def kde(pts: Boxes, bandwidth: float, resolution: float, bounds: tuple[float, float, float, float], cut: float | None = None) -> DataFrame:
+def kde(pts: Boxes, bandwidth: float, resolution: float, bounds: tuple[float, float, float, float], cut: float = 9.0) -> DataFrame:
     """row, col, density (per square kilometre) of Gaussian kernels at cell centres; rows go up from the lower edge.
 
-    Each point adds to the cells within `cut` bandwidths; without it to all, as the plain formula has it.
+    Each point adds to the cells within `cut` bandwidths of its row and column; at 9 what is left out of a cell is below
+    3e-18 of a point's peak for each point, less than doubles hold.
     """
     x0, y0, x1, y1 = bounds
     cols, rows = round((x1 - x0) / resolution), round((y1 - y0) / resolution)
     require(rows * cols <= 1_000_000, "more than 1000000 cells")
-    span = lambda c, lo, top: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - cut * bandwidth - lo) / resolution).cast("int")), F.least(F.lit(top - 1), F.floor((F.col(c) + cut * bandwidth - lo) / resolution).cast("int"))) if cut else F.sequence(F.lit(0), F.lit(top - 1))
+    def span(c: str, lo: float, top: int) -> Column:
+        first = F.greatest(F.lit(0), F.floor((F.col(c) - cut * bandwidth - lo) / resolution).cast("int"))
+        last = F.least(F.lit(top - 1), F.floor((F.col(c) + cut * bandwidth - lo) / resolution).cast("int"))
+        return F.when(first <= last, F.sequence(first, last))  # null: no cell in reach
+
     p = pts.df.select(F.col(pts.xmin).cast("double").alias("x"), F.col(pts.ymin).cast("double").alias("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
     hit = p.withColumn("row", F.explode(span("y", y0, rows))).withColumn("col", F.explode(span("x", x0, cols)))
     dx, dy = F.lit(x0) + (F.col("col") + 0.5) * resolution - F.col("x"), F.lit(y0) + (F.col("row") + 0.5) * resolution - F.col("y")

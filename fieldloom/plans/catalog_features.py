@@ -8,6 +8,7 @@ from ..functions import projection
 from ..operators import analysis, conflation, features, raster, table
 from ..operators.raster import Grid
 from ..operators.spatial import Boxes
+from . import catalog_tables
 from . import inputs as i
 from .inputs import sql
 
@@ -97,11 +98,9 @@ def helmert_fit(spark, sf):
     return spark.range(1).select(F.round(F.lit(fit["a"]), 6).alias("a"))
 
 
-@query("scenario_changes")
+@query("scenario_changes", f"{catalog_tables._SCORE} SELECT a.scenario, id, CASE WHEN a.selected THEN 'newly_selected' ELSE 'lost_selected' END AS change FROM t a JOIN t b USING (id) WHERE a.scenario = 'other' AND b.scenario = 'base' AND a.selected <> b.selected")
 def scenario_changes(spark, sf):
-    from .catalog_tables import _scores
-
-    return analysis.scenario_changes(_scores(spark, sf), "base")
+    return analysis.scenario_changes(catalog_tables._scores(spark, sf), "base")
 
 
 @query("points_match", sql("SELECT left_id, right_id, dist2, CASE WHEN count(*) OVER (PARTITION BY left_id) > 1 OR count(*) OVER (PARTITION BY right_id) > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM (SELECT s_suppkey AS left_id, c_custkey AS right_id, CAST((s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) AS BIGINT) AS dist2 FROM supp s JOIN cust c ON (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) <= 225)", "supp", "cust"))

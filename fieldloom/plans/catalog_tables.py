@@ -396,6 +396,13 @@ def suitability_scores(spark, sf):
     return _scores(spark, sf).select("id", "scenario", "eligible", "score", "selected")
 
 
+@query("suitability_ranks", "SELECT id, CAST(rank() OVER (ORDER BY s DESC) AS INTEGER) AS rank FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, p_size / 64.0::DOUBLE AS s FROM part WHERE p_size IS NOT NULL)")
+def suitability_ranks(spark, sf):
+    """Scores that are sums of few binary digits, so that equal ones tie everywhere."""
+    part = load(spark, sf, "part").select("p_partkey", "p_size")
+    return analysis.suitability(part, "p_partkey", {"size": analysis.Criterion("p_size", 0, 64)}, [{"id": "one", "weights": {"size": 1}, "threshold": 0.0}]).select("id", "rank")
+
+
 @query("suitability_stability", f"{_SCORE} SELECT id, CAST(sum(selected::INT) AS BIGINT) AS selected_scenarios, bool_and(selected) AS stable_selected, NOT bool_or(selected) AS never_selected, min(score) AS score_min, max(score) AS score_max FROM t GROUP BY 1")
 def suitability_stability(spark, sf):
     return analysis.stability(_scores(spark, sf)).drop("rank_min", "rank_max")

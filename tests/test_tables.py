@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.contracts import ContractError
 from fieldloom.functions import filters, text
-from fieldloom.operators import aggregates, analysis, joins, rules, table, versions
+from fieldloom.operators import aggregates, analysis, joins, order, rules, table, versions
 
 
 def frame(spark, schema, *rows):
@@ -112,4 +112,23 @@ def test_suitability(spark):
     out = analysis.suitability(df, "id", c, s)
     assert {r["id"]: r["score"] for r in out.where("scenario = 'base'").collect()} == {"a": 0.25, "b": 0.75, "c": None}
     assert not any(r["stable_selected"] for r in analysis.stability(out).collect())
-    assert {r["scenario"]: (r["newly_selected"], r["lost_selected"]) for r in analysis.scenario_changes(out, "base").collect()} == {"other": (["a"], ["b"])}
+    assert sorted(map(tuple, analysis.scenario_changes(out, "base").collect())) == [("other", "a", "newly_selected"), ("other", "b", "lost_selected")]
+    assert {(r["scenario"], r["id"]): r["rank"] for r in out.collect()} == {("base", "b"): 1, ("base", "a"): 2, ("base", "c"): None, ("other", "a"): 1, ("other", "b"): 2, ("other", "c"): None}
+
+
+def test_running_totals(spark):
+    rows = [(g, k * 7 % 100, k % 4) for g in ("a", None) for k in range(100)]
+    got = order.running_totals(frame(spark, "g string, v int, n int", *rows).repartition(5), ["g"], ["v"], "n", "before")
+    for g in ("a", None):
+        own = sorted((v, n) for h, v, n in rows if h == g)
+        want = [sum(n for _, n in own[:k]) for k in range(100)]
+        assert [r["before"] for r in got.where(F.col("g").eqNullSafe(F.lit(g))).orderBy("v").collect()] == want
+    assert order.running_totals(frame(spark, "v int, n int", (2, 5), (1, 3)), [], ["v"], "n", "before").orderBy("v").collect() == [(1, 3, 0), (2, 5, 3)]
+
+
+def test_false_discovery(spark):
+    p = [0.001, 0.001, 0.008, 0.03, 0.2, 0.9, 0.041]
+    got = {r["k"]: r["significant"] for r in analysis.false_discovery(frame(spark, "k int, p double", *enumerate(p)), "k", "p").collect()}
+    h = sum(1 / k for k in range(1, 8))
+    cut = max((x for k, x in enumerate(sorted(p), 1) if x <= k * 0.05 / (7 * h)), default=-1)
+    assert got == {k: x <= cut for k, x in enumerate(p)} and sum(got.values()) >= 2
