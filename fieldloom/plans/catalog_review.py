@@ -1,11 +1,14 @@
-"""Queries on keys, labels, exact sums, seams, band stacks and surfaces."""
+"""Queries on keys, labels, exact sums, seams, band stacks, surfaces and large derived layers."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import _NARROW, _WIDE, pointer
-from ..operators import aggregates, conflation, graph, joins, labels, raster
+from ..operators import aggregates, conflation, graph, joins, labels, raster, spatial
+from ..operators.raster import Grid
+from ..operators.spatial import points
 from . import catalog_raster as r
 from . import inputs as i
 from .inputs import GRID, sql
@@ -124,3 +127,56 @@ def edge_match(spark, sf):
     approved = lines.where("id % 5 % 2 = 0").select(F.col("id").alias("source_id"), F.lit(0).alias("source_end"), F.col("id").alias("target_id"), F.lit(0).alias("target_end"))
     out = conflation.edge_match(lines, reference, approved, 3.0)
     return out.select("id", F.col("line")[0]["x"].alias("x1"), F.col("line")[0]["y"].alias("y1"), F.col("line")[1]["x"].alias("x2"), F.col("line")[1]["y"].alias("y2"))
+
+
+# --- tables of the size of lineitem and orders, and a raster of a million cells ---------------------------------------
+
+_LX, _LY = "(l_orderkey * 7919 + l_linenumber * 13) % 1000", "(l_partkey * 104729 + l_linenumber) % 1000"
+
+
+_PLACES = f"(SELECT {_LX} AS x, {_LY} AS y, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)"
+
+
+def line_points(spark, sf):
+    """The places of all line items, with their quantity."""
+    place = lambda e, c: F.expr(e).cast("double").alias(c)
+    rows = i.load(spark, sf, "lineitem").groupBy(place(_LX, "x"), place(_LY, "y")).agg(F.sum("l_quantity").alias("q"))
+    return points(rows.withColumn("place", F.col("x") * 1000 + F.col("y")), "place")
+
+
+@query("lineitem_zones", sql(f"SELECT n_nationkey AS zone_id, count(x) AS cnt, sum(q) AS total FROM zone LEFT JOIN {_PLACES} ON x > xmin AND x < xmax AND y > ymin AND y < ymax GROUP BY 1", "zone"))
+def lineitem_zones(spark, sf):
+    return spatial.zone_cross(i.zone_boxes(spark, sf), line_points(spark, sf), "q")
+
+
+@query("lineitem_parts", sql(f"SELECT p_partkey AS left_id, count(x) AS match_count, sum(q) AS value FROM box JOIN {_PLACES} ON x >= xmin AND x <= xmax AND y >= ymin AND y <= ymax GROUP BY 1", "box"))
+def lineitem_parts(spark, sf):
+    """Places of all line items in the boxes of all parts."""
+    return spatial.spatial_join(i.parts(spark, sf), line_points(spark, sf), "q", "sum", how="inner")
+
+
+@query("orders_chains", "SELECT min(o_orderkey) AS root, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def orders_chains(spark, sf):
+    """Components of the graph that links each order to its customer's next one."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    links = i.load(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b is not null")
+    return graph.connected_components(links, "a", "b").groupBy("root").agg(F.count("*").alias("n"))
+
+
+_WIDE_GRID = Grid(1024, 1024, 0.0, 1024.0)
+_WIDE_SQL = """got AS (SELECT l_orderkey % 1024 AS "row", (l_partkey * 7 + l_suppkey) % 1024 AS col, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
+    cell AS (SELECT CAST(x.r AS INTEGER) AS "row", CAST(y.c AS INTEGER) AS col, CAST((x.r * 37 + y.c * 91) % 101 + coalesce(q, 0) AS DOUBLE) AS value FROM range(1024) x(r) CROSS JOIN range(1024) y(c) LEFT JOIN got ON got."row" = x.r AND got.col = y.c)"""
+
+
+def wide_cells(spark, sf):
+    got = i.load(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 1024).cast("int").alias("row"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 1024).cast("int").alias("col")).agg(F.sum("l_quantity").alias("q"))
+    value = (F.col("row") * 37 + F.col("col") * 91) % 101 + F.coalesce("q", F.lit(0.0))
+    return _WIDE_GRID.frame(spark).join(got, ["row", "col"], "left").select("row", "col", value.cast("double").alias("value"))
+
+
+@query("raster_wide_relief", f"""WITH {_WIDE_SQL}, near AS (SELECT "row" + dr AS "row", col + dc AS col, max(value) - min(value) AS relief, count(*) AS k FROM cell, (VALUES (-1), (0), (1)) x(dr), (VALUES (-1), (0), (1)) y(dc) GROUP BY 1, 2)
+    SELECT CAST("row" // 128 AS INTEGER) AS r, CAST(col // 128 AS INTEGER) AS c, count(*) FILTER (k = 9) AS n, sum(CASE WHEN k = 9 THEN relief END) AS relief FROM near WHERE "row" BETWEEN 0 AND 1023 AND col BETWEEN 0 AND 1023 GROUP BY ALL""")
+def raster_wide_relief(spark, sf):
+    """Relief of a million cells, summed by squares of 128."""
+    out = raster.terrain(wide_cells(spark, sf), _WIDE_GRID)
+    return out.groupBy(F.expr("cast(row div 128 as int)").alias("r"), F.expr("cast(col div 128 as int)").alias("c")).agg(F.count("relief").alias("n"), F.sum("relief").alias("relief"))
