@@ -195,3 +195,19 @@ def describe(spark: SparkSession, path: str) -> dict:
     """Fields and formats from headers alone."""
     df = read_any(spark, path) if not path.endswith(".gpkg") else gpkg_layers(spark, path)
     return {"path": path, "driver": FORMATS.get(path.rsplit(".", 1)[-1].lower()), "fields": [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable} for f in df.schema.fields]}
+
+
+# Files beside a dataset that hold a part of it.
+OPEN_DATABASE, RASTER_SIDECARS = ("-wal", "-shm", "-journal"), (".msk", ".aux.xml", ".ovr")
+
+
+def fingerprint(spark: SparkSession, path: str, raster: bool = False) -> str:
+    """SHA-256 of a single-file dataset. Refused: folders, shapefiles (several files), databases in use and, for rasters,
+    files with parts beside them, as the hash would not hold these."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    require(store.exists(where(path)) and store.getFileStatus(where(path)).isFile(), "a single-file dataset is needed")
+    require(not path.lower().endswith(".shp"), "a shapefile is several files: convert it first")
+    beside = [x for x in OPEN_DATABASE + (RASTER_SIDECARS if raster else ()) if store.exists(where(path + x))]
+    require(not beside, f"files beside the dataset hold a part of it: {', '.join(beside)}")
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]

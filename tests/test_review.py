@@ -1,5 +1,6 @@
 """Keys, labels, exact sums, seams, approvals and surfaces."""
 
+import hashlib
 import math
 import random
 
@@ -10,6 +11,8 @@ from fieldloom.contracts import ContractError
 from fieldloom.functions import text
 from fieldloom.operators import aggregates, conflation, graph, joins, labels, raster
 from fieldloom.operators.raster import Grid
+from fieldloom.plans import catalog
+from fieldloom.sources import readers
 
 
 def column(spark, kind, *values):
@@ -134,3 +137,24 @@ def test_approvals(spark):
     assert got == {"a": 9, "b": None}
     with pytest.raises(ContractError):
         conflation.approved_transfer(left, right, pairs, pairs.drop("status"), ["v"], "me", *seen[::-1])
+
+
+def test_fingerprints_of_files(spark, tmp_path):
+    one = tmp_path / "layer.gpkg"
+    one.write_bytes(b"abc")
+    assert readers.fingerprint(spark, str(one)) == hashlib.sha256(b"abc").hexdigest()
+    (tmp_path / "layer.gpkg.ovr").write_bytes(b"")
+    assert readers.fingerprint(spark, str(one))
+    (tmp_path / "roads.shp").write_bytes(b"x")
+    for path, raster in ((one, True), (tmp_path / "roads.shp", False), (tmp_path, False), (tmp_path / "none", False)):
+        with pytest.raises(ContractError):
+            readers.fingerprint(spark, str(path), raster)
+    (tmp_path / "layer.gpkg-wal").write_bytes(b"")
+    with pytest.raises(ContractError):
+        readers.fingerprint(spark, str(one))
+
+
+def test_discovery(spark):
+    found = {r["name"]: r for r in catalog.discovery(spark).collect()}
+    assert set(found) == set(catalog.QUERIES) and found["lineitem_parts"]["module"] == "review" and found["lineitem_parts"]["with_sql"]
+    assert sum(r["with_sql"] for r in found.values()) == len(catalog.ORACLE_SQL)
