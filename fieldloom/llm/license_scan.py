@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import heavy_keys, join_heavy, written
 
 # Short forms of licence notices, several a licence.
 TEMPLATES = [
@@ -117,6 +117,7 @@ def term_weights(files: DataFrame, templates: DataFrame, text_col: str = "text")
     # one pass; only the templates' terms leave a file
     words = F.array_intersect(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^a-z0-9]+"), F.array(*map(F.lit, sorted(known))))
     seen = files.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    seen = written(seen, "licence-term-counts")
     total = seen.where("term = ''").select(F.col("n").alias("files"))
     counted = vocabulary.join(F.broadcast(seen.where("term <> ''")), "term", "left")  # at most the templates' terms
     return counted.join(F.broadcast(total), how="left").select("term", (1 + F.log((1 + F.coalesce("files", F.lit(0))) / (1 + F.coalesce("n", F.lit(0))))).alias("idf"))
@@ -164,32 +165,41 @@ def detect(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", path_co
     # written: read again by every join
     pattern, norms = written(pattern, "licence-patterns"), written(norms, "licence-norms")
     meant = F.create_map(*[x for t, m in MARKS.items() for x in (F.lit(t), F.array(*map(F.lit, m)))])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    held = F.rlike(text, F.lit(TRIGGER))
-    rows = written(files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.when(held, F.sha2(text, 256)).alias("key"), F.when(held, text).alias("text")), "licence-rows")
+    texts = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.withColumn("held", F.rlike("text", F.lit(TRIGGER)))
+    rows = written(texts.select("doc_id", "path", F.when(F.col("held"), F.unhex(F.md5("text"))).alias("key"), F.when(F.col("held"), F.col("text")).alias("text")), "licence-rows")
     # equal texts are judged once
-    texts = rows.where("key is not null").groupBy("key").agg(F.first("text").alias("text"))
-    pieces = texts.select("key", F.posexplode(F.split("text", PIECE)).alias("piece", "wording"))
-    terms = pieces.select("key", "piece", F.rlike("wording", F.lit(TRIGGER)).alias("licence_word"), F.explode(_terms(F.col("wording"))).alias("term"))
-    words = written(terms.groupBy("key", "piece", "licence_word", "term").agg(F.count("*").alias("tf")).join(weights, "term", "left"), "licence-words")
+    held = rows.where("key is not null")
+    judged = written(held.groupBy("key").agg(F.first("text").alias("text")), "licence-texts")
+    # only texts are dealt, by key: what follows of a text is grouped where it lies, and made anew where it is needed twice
+    dealt = judged.repartition("key")
+
+    def weighed(terms: DataFrame, part: list[str]) -> DataFrame:
+        """The columns `part`, term, tf, idf."""
+        return terms.groupBy(*part, "term").agg(F.count("*").alias("tf")).join(weights, "term", "left")
 
     def hits(vectors: DataFrame, part: list[str]) -> DataFrame:
         """The columns `part`, template, licence, rank, similarity of vectors: part, term, tf, idf."""
-        weighed = vectors.groupBy(*part, "term").agg((F.sum("tf") * F.coalesce(F.first("idf"), F.lit(top))).alias("hw"), F.first("idf").isNotNull().alias("known"))
-        weighed = written(weighed, "licence-vectors")
-        lengths = weighed.groupBy(*part).agg(F.sqrt(F.sum(F.pow("hw", F.lit(2)))).alias("hnorm"), F.flatten(F.collect_set(F.element_at(meant, F.col("term")))).alias("marks"))
-        dots = weighed.where("known").join(F.broadcast(pattern), "term").groupBy(*part, "template").agg(F.sum(F.col("hw") * F.col("tw")).alias("dot"))
+        sums = vectors.groupBy(*part, "term").agg((F.sum("tf") * F.coalesce(F.first("idf"), F.lit(top))).alias("hw"), F.first("idf").isNotNull().alias("known"))
+        sums = written(sums, "licence-vectors")
+        lengths = sums.groupBy(*part).agg(F.sqrt(F.sum(F.pow("hw", F.lit(2)))).alias("hnorm"), F.flatten(F.collect_set(F.element_at(meant, F.col("term")))).alias("marks"))
+        dots = sums.where("known").join(F.broadcast(pattern), "term").groupBy(*part, "template").agg(F.sum(F.col("hw") * F.col("tw")).alias("dot"))
         near = dots.join(lengths, part).join(F.broadcast(norms), "template").where((F.size(F.array_except("must", "marks")) == 0) & ~F.arrays_overlap("never", "marks"))
         return near.select(*part, "template", "licence", "rank", F.round(F.col("dot") / (F.col("hnorm") * F.col("norm")), 9).alias("similarity")).where(F.col("similarity") >= least)
 
-    whole = written(hits(words, ["key"]).select("key", "template", "licence", "rank", "similarity", F.lit(True).alias("whole")), "licence-whole")
+    texts = dealt.select("key", F.explode(_terms(F.col("text"))).alias("term"))
+    whole = written(hits(weighed(texts, ["key"]), ["key"]).select("key", "template", "licence", "rank", "similarity", F.lit(True).alias("whole")), "licence-whole")
     # the parts of a file that is a licence as a whole would not be asked
-    rest = words.join(whole.where("rank = 2").select("key").distinct(), "key", "left_anti")
-    runs = _runs(rest, top, least).join(rest, "key").where("piece between first and last")
+    open_texts = dealt.join(whole.where("rank = 2").select("key").distinct(), "key", "left_anti")
+    pieces = open_texts.select("key", F.posexplode(F.split("text", PIECE)).alias("piece", "wording")).withColumn("licence_word", F.rlike("wording", F.lit(TRIGGER)))
+    words = weighed(pieces.select("key", "piece", "licence_word", F.explode(_terms(F.col("wording"))).alias("term")), ["key", "piece", "licence_word"])
+    runs = _runs(words, top, least).join(words, "key").where("piece between first and last")
     parts = hits(runs, ["key", "first", "last"]).select("key", "template", "licence", "rank", "similarity", F.lit(False).alias("whole"))
     order = F.struct("rank", "whole", "similarity", (-F.col("template")).alias("order"), "licence")
-    own = whole.unionByName(parts).groupBy("key").agg(F.max(order).alias("hit"))
-    return rows.join(own, "key", "left").select("doc_id", "path", F.col("hit.licence").alias("licence"), F.col("hit.similarity").alias("similarity"), F.coalesce("hit.whole", F.lit(False)).alias("whole"))
+    own = written(whole.unionByName(parts).groupBy("key").agg(F.max(order).alias("hit")).select("key", "hit.licence", "hit.similarity", "hit.whole"), "licence-hits")
+    copies = held.groupBy("key").agg(F.count("*").alias("n"))
+    found = join_heavy(held.select("key", "doc_id", "path"), own, ["key"], heavy_keys(copies, ["key"])).select("doc_id", "path", "licence", "similarity", F.coalesce("whole", F.lit(False)).alias("whole"))
+    return found.unionByName(rows.where("key is null").select("doc_id", "path", F.lit(None).cast("string").alias("licence"), F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("whole")))
 
 
 def parents(path: Column) -> Column:
@@ -211,10 +221,10 @@ def scan(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", path_col:
     given = found.where("whole and licence is not null").groupBy(folder.alias("folder"), "licence").agg(F.count("*").alias("n"))
     first = given.groupBy("folder").agg(F.min_by("licence", F.struct(-F.col("n"), F.col("licence"))).alias("folder_licence"))
     # every directory that holds files is resolved once, then the files take its answer
-    folders = found.select(folder.alias("of")).distinct()
+    folders = written(found.groupBy(folder.alias("of")).agg(F.count("*").alias("n")), "licence-folders")
     chain = folders.select("of", F.posexplode(F.concat(F.array("of"), F.when(F.col("of") != "", parents(F.col("of"))).otherwise(F.array().cast("array<string>")))).alias("steps", "folder"))
     nearest = chain.join(first, "folder").groupBy("of").agg(F.min(F.struct("steps", "folder", "folder_licence")).alias("near"))
-    with_folder = found.withColumn("of", folder).join(nearest, "of", "left")
+    with_folder = join_heavy(found.withColumn("of", folder), written(nearest, "licence-nearest"), ["of"], heavy_keys(folders, ["of"]))
     inherits = F.col("licence").isNull()
     return with_folder.select(
         "doc_id", "path", F.col("licence").alias("own_licence"), "similarity", F.col("whole").alias("licence_file"),
