@@ -46,7 +46,7 @@ _DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^ \t\n\r\xa0{_LETTERS}{_DIGITS}]+")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letters that byte-level models write for bytes: printable ones for themselves, the others from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
@@ -70,7 +70,7 @@ class WordIds:
         if kinds != ["NFC", "Replace", "Lowercase"] or cut != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
             raise ValueError("a lower-case word tokenizer that drops white space is needed")
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 

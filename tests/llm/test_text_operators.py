@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import itertools
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +56,53 @@ def test_secrets(spark, docs):
     assert secret_scan.report(docs.limit(0), ratios).count() == 0
 
 
+def test_markov_against_brute_force(spark):
+    """Ratios and spans of runs outside the base spans, and how many planted keys and ordinary names are called secrets."""
+    rng = random.Random(3)
+    syllables = [a + b for a in "bdfgklmnprstv" for b in "aeiou"]
+    name = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    names = ["_".join(name() for _ in range(rng.randint(4, 8))) for _ in range(300)]
+    shapes = {"base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "upper": string.ascii_uppercase + string.digits, "url": string.ascii_letters + string.digits + "_-"}
+    keys = {shape: ["".join(rng.choices(letters, k=rng.randint(24, 64))) for _ in range(100)] for shape, letters in shapes.items()}
+    texts = [" ".join([name() for _ in range(30)] + [n]) for n in names]
+    learnt = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    ratios = secret_scan.train(learnt)
+    mixed = ["é token=abcdef0123456789abcdef0123/" + k for k in keys["base62"][:10]] + [f"AKIA{'Q7' * 8}/{k}" for k in keys["base64"][:10]]
+    rows = list(enumerate([*names, *(k for own in keys.values() for k in own), *mixed]))
+    found = secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()
+    spans = {r["doc_id"]: r["spans"] for r in found}
+
+    def judged(text):
+        for pattern in (secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX):
+            text = re.sub(pattern, lambda m: " " * len(m[0]) if pattern != secret_scan.ASSIGN or len(m[2]) >= 6 else m[0], text)
+        for m in re.finditer(secret_scan.RUN, text):
+            if sum(ratios[(ord(x) - 32) * 96 + ord(y) - 32] for x, y in itertools.pairwise(m[0])) >= 12:
+                yield f"markov:{m.start()}:{m.end()}"
+
+    for k, text in rows:
+        assert [x for x in spans[k].split(",") if x.startswith("markov")] == list(judged(text)), text
+    for shape, own in keys.items():
+        got = sum("markov" in spans[k] for k, t in rows if t in set(own))
+        assert got >= 0.97 * len(own), (shape, got)
+    assert sum("markov" in spans[k] for k, _ in rows[: len(names)]) <= 3
+
+
+def test_long_texts_with_many_spans(spark):
+    rng = random.Random(5)
+    text = " é ".join(rng.choice(["token=", "", "deadbeef" * 3 + "-"]) + "".join(rng.choices(string.ascii_letters + string.digits, k=30)) for _ in range(5000))
+    run = "".join(rng.choices(string.ascii_letters + string.digits, k=300_000))
+    docs = spark.createDataFrame([(1, text), (2, run)], "doc_id long, text string").withColumn("base", F.lit(1))
+    ratios = secret_scan.train(spark.createDataFrame([(1, "some ordinary words about nothing in particular and other such things ") for _ in range(50)], "doc_id long, text string"))
+    found = {r["doc_id"]: r["spans"].split(",") for r in secret_scan.report(docs, ratios).collect()}
+    assert found[2] == ["markov:0:300000"] and len(found[1]) > 5000
+    at, out = 0, ""
+    for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in found[1]):
+        if a >= at:
+            out += text[at:a] + "[REDACTED]"
+        at = max(at, b)
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, ratios).collect()} == {1: out + text[at:], 2: "[REDACTED]"}
+
+
 def test_markov_tells_random_from_ordinary(spark):
     words = "configuration_manager_factory internationalization_of_the_software application-settings-controller documentation/reference/manual"
     plain = spark.createDataFrame([(k, f"{words} {words.upper().lower()} some more ordinary words here") for k in range(20)], "doc_id long, text string")
@@ -67,6 +117,7 @@ def test_markov_tells_random_from_ordinary(spark):
 def test_redaction_of_overlaps(spark, docs):
     ratios = [-1.0] * (secret_scan.WIDE**2)
     out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, ratios).collect()}
+    assert secret_scan.redact(docs.limit(0), ratios).count() == 0
     assert out[15] == "[REDACTED]" and out[0] is None and out[1] == "" and out[12].startswith("[REDACTED]' [REDACTED] [REDACTED]")
 
 
@@ -93,6 +144,27 @@ def test_frequent_lines(spark):
     got = {r["doc_id"]: (r["lost_words"], r["kept"]) for r in line_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[k] == (80, False) for k in range(25)) and all(got[100 + k] == (0, True) for k in range(25))
     assert all(got[200 + k] == (0, True) for k in range(30))  # copies of one text count as one document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("frequent", F.lit("clash"))
+    left = {r["doc_id"]: r["text"] for r in line_quality.strip_lines(docs, most_lost=0.6).collect()}
+    assert line_quality.strip_lines(docs).columns == docs.columns and left == {d: t.split("\n")[0] if d < 25 else t for d, t, _ in rows}
+    assert sorted(r["doc_id"] for r in line_quality.strip_lines(docs).collect()) == sorted(d for d, *_ in rows if d >= 25)
+    assert line_quality.strip_lines(docs.limit(0)).count() == 0
+
+
+def test_words_end_at_the_same_blanks_everywhere(spark):
+    shared = "\u3000".join(f"c{j}" for j in range(80)) + " \x1c\u00a0end"
+    rows = [(k, f"{' '.join(f'w{k}x{j}' for j in range(60))}\n{shared}", None) for k in range(25)] + [(None, None, None), (70, "", "h"), (70, "", "h")]
+    got = {r["doc_id"]: r for r in line_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((got[k]["n_words"], got[k]["lost_words"], got[k]["kept"]) == (62, 2, True) for k in range(25)) and got[None]["n_words"] == 0
+    left = line_quality.strip_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(left) == 25 and not any("c1" in r["text"] for r in left)
+
+
+def test_repeated_windows_with_many_words():
+    numbers = {b"x%d" % k: k for k in range(1 << 21)}
+    words = [f"a{k}" for k in range(40)]
+    text = " ".join([*words, "a b c", *words[::-1], "a b c d"])
+    assert line_quality.figures(text, numbers) == line_quality.figures(text, {}) and line_quality.figures(text, {})[4] == 6
 
 
 @pytest.fixture(scope="module")
@@ -122,7 +194,7 @@ def test_chat_round_trip(spark, talks):
 
 
 def test_shared_turns_are_emitted_once(spark, talks):
-    nodes = chat_format.with_position_ids(chat_format.build(talks, BYTE).nodes).toPandas()
+    nodes = chat_format.build(talks, BYTE).nodes.toPandas()
     assert len(nodes) == 160  # three conversations share their first turn, two are equal and one is their beginning
     assert nodes["attends"].map(len).max() == 2  # chains are one interval
     for _, tree in nodes.groupby("root"):
