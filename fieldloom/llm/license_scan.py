@@ -102,11 +102,21 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def _rank(k: int) -> int:
+    return 1 if k == BARE_BSD else GENERAL.get(TEMPLATES[k][0], 2)
+
+
+def _bits(marks: list[str]) -> int:
+    """Marks as the bits of a number."""
+    known = sorted({x for own in MARKS.values() for x in own})
+    return sum(1 << known.index(x) for x in marks)
+
+
 def _rules(spark: SparkSession) -> DataFrame:
     """template, rank, must, never."""
     text = "array<string>"
     marks = lambda k, name: F.array(*map(F.lit, RULES.get(name, ([], []))[k])).cast(text)
-    rows = [F.struct(F.lit(k).alias("template"), F.lit(1 if k == BARE_BSD else GENERAL.get(name, 2)).alias("rank"), marks(0, name).alias("must"), marks(1, name).alias("never")) for k, (name, _) in enumerate(TEMPLATES)]
+    rows = [F.struct(F.lit(k).alias("template"), F.lit(_rank(k)).alias("rank"), marks(0, name).alias("must"), marks(1, name).alias("never")) for k, (name, _) in enumerate(TEMPLATES)]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
@@ -123,27 +133,80 @@ def term_weights(files: DataFrame, templates: DataFrame, text_col: str = "text")
     return counted.join(F.broadcast(total), how="left").select("term", (1 + F.log((1 + F.coalesce("files", F.lit(0))) / (1 + F.coalesce("n", F.lit(0))))).alias("idf"))
 
 
-def _runs(words: DataFrame, top: float, least: float) -> DataFrame:
-    """key, first, last of the runs of up to WINDOW pieces that hold a licence word.
+def _covered(words: DataFrame, top: float, least: float) -> DataFrame:
+    """key, n (the piece's place, from 1), licence_word, words, reach, cover of the pieces in runs worth judging.
 
+    reach is the last piece of such a run that begins here, or null; cover the last piece of those that hold this one.
     Only runs that can't reach `least` are left out: a cosine of c asks that the terms outside the templates weigh at
     most 1 / c^2 - 1 of those inside (squared), a term weighs at least `top` each time, and the inner norm of a run is
     at most the sum of its pieces'.
     """
     known = F.col("idf").isNotNull()
     sums = words.groupBy("key", "piece").agg(
-        F.max(F.col("licence_word").cast("int")).alias("licence_word"), F.sum(F.when(~known, F.col("tf") * top * top).otherwise(0.0)).alias("outer"), F.sqrt(F.sum(F.when(known, F.pow(F.col("tf") * F.col("idf"), F.lit(2))).otherwise(0.0))).alias("inner")
+        F.max(F.col("licence_word").cast("int")).alias("licence_word"), F.sum(F.when(~known, F.col("tf") * top * top).otherwise(0.0)).alias("outer"), F.sqrt(F.sum(F.when(known, F.pow(F.col("tf") * F.col("idf"), F.lit(2))).otherwise(0.0))).alias("inner"),
+        F.collect_list(F.struct("term", "tf", "idf")).alias("words"),
     )
     order = Window.partitionBy("key").orderBy("piece")
     before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = [F.sum(c).over(before).alias(c) for c in ("licence_word", "outer", "inner")]
-    following = F.collect_list(F.struct("piece", *totals)).over(order.rowsBetween(Window.currentRow, WINDOW - 1))
     own = {c: F.col(c) for c in ("licence_word", "outer", "inner")}
-    runs = sums.select("key", "piece", *own.values(), following.alias("next"))
+    placed = sums.select("key", "piece", "words", *own.values(), F.row_number().over(order).alias("n"), *(F.sum(c).over(before).alias(f"{c}_so_far") for c in own))
+    following = F.collect_list(F.struct("n", *(F.col(f"{c}_so_far").alias(c) for c in own))).over(order.rowsBetween(Window.currentRow, WINDOW - 1))
     # a run's sums: the totals up to its end, less those up to its first piece, and that piece's own
-    of = lambda x, c: x[c] - F.col("next")[0][c] + own[c]
+    of = lambda x, c: x[c] - F.col(f"{c}_so_far") + own[c]
     fits = lambda x: (of(x, "licence_word") > 0) & (of(x, "outer") <= (1 / least**2 - 1) * F.pow(of(x, "inner"), F.lit(2)) + 1e-6)
-    return runs.select("key", F.col("piece").alias("first"), F.explode(F.transform(F.filter("next", fits), lambda x: x["piece"])).alias("last"))
+    reach = F.array_max(F.transform(F.filter(following, fits), lambda x: x["n"]))
+    runs = placed.select("key", "piece", "n", "licence_word", "words", reach.alias("reach"))
+    covers = F.max("reach").over(order.rowsBetween(1 - WINDOW, Window.currentRow))
+    return runs.select("key", "n", "licence_word", "words", "reach", covers.alias("cover")).where("cover >= n")
+
+
+def _best_runs(words: DataFrame, patterns: DataFrame, top: float, least: float) -> DataFrame:
+    """key, hit (rank, similarity, order: less the template) of the best run from each piece that begins one.
+
+    Runs and words are never paired. A run's products with the templates are the sums of its pieces', and its squared
+    norm the sum of its pieces' squares and of their products with each piece before in it: both are added up piece by
+    piece. A piece meets at most WINDOW - 1 pieces before it, so the work is in proportion to the text.
+    patterns: term, tws (a weight for each template, over the template's norm).
+    """
+    pieces = _covered(words, top, least)
+    place = Window.partitionBy("key", "term").orderBy("n").rangeBetween(1 - WINDOW, -1)
+    terms = pieces.select("key", "n", "licence_word", "reach", "cover", F.inline("words"))
+    terms = terms.withColumn("earlier", F.collect_list(F.struct("n", "tf", "cover")).over(place)).withColumn("square", F.pow(F.coalesce("idf", F.lit(top)), F.lit(2)) * F.col("tf"))
+    met = F.transform(F.filter("earlier", lambda x: x["cover"] >= F.col("n")), lambda x: F.struct((F.col("n") - x["n"]).alias("back"), (2 * F.col("square") * x["tf"]).alias("product")))
+    own = F.array(F.struct(F.lit(0).alias("back"), (F.col("square") * F.col("tf")).alias("product")))
+    bits = F.coalesce(F.create_map(*[x for t, m in MARKS.items() for x in (F.lit(t), F.lit(_bits(m)))])[F.col("term")], F.lit(0))
+    terms = terms.join(F.broadcast(patterns), "term", "left").select("key", "n", "licence_word", "reach", bits.alias("bits"), F.when(F.col("idf").isNotNull(), F.struct((F.col("tf") * F.col("idf")).alias("hw"), "tws")).alias("share"), F.inline(F.concat(own, met)))
+    shares = F.collect_list(F.when(F.col("back") == 0, F.col("share")))
+    sums = terms.groupBy("key", "n", "back").agg(F.sum("product").alias("product"), F.max("licence_word").alias("licence_word"), F.max("reach").alias("reach"), F.bit_or("bits").alias("bits"), shares.alias("shares"))
+    sums = sums.groupBy("key", "n").agg(F.collect_list(F.struct("back", "product")).alias("products"), F.max("licence_word").alias("licence_word"), F.max("reach").alias("reach"), F.bit_or("bits").alias("bits"), F.flatten(F.collect_list("shares")).alias("shares"))
+    none = F.array_repeat(F.lit(0.0), len(TEMPLATES))
+    dots = F.aggregate("shares", none, lambda s, x: F.zip_with(s, x["tws"], lambda a, b: a + x["hw"] * b))
+    vectors = sums.select("key", "n", "licence_word", "reach", "bits", "products", dots.alias("dots"))
+
+    names = [name for name, _ in TEMPLATES]
+    ranks, must, never = (F.array(*map(F.lit, x)) for x in ([_rank(k) for k in range(len(names))], *([_bits(RULES.get(name, ([], []))[k]) for name in names] for k in (0, 1))))
+    close = lambda a, dot: dot >= (least - 1e-6) * F.sqrt(a["square"])  # noqa: E731  before rounding
+
+    def judged(a: Column) -> Column:
+        """The best hit after the run that `a` holds."""
+        similar = lambda dot: F.round(dot / F.sqrt(a["square"]), 9)
+        called = lambda k: (a["bits"].bitwiseAND(must[k]) == must[k]) & (a["bits"].bitwiseAND(never[k]) == 0)
+        hits = F.transform(a["dots"], lambda dot, k: F.when(close(a, dot) & called(k) & (similar(dot) >= least), F.struct(ranks[k].alias("rank"), similar(dot).alias("similarity"), (-k).alias("order"))))
+        return F.when((a["licence_word"] > 0) & close(a, F.array_max(a["dots"])), F.greatest(a["hit"], F.array_max(hits))).otherwise(a["hit"])
+
+    def longer(a: Column, x: Column) -> Column:
+        """The run in `a` is judged, then piece x is added."""
+        added = F.aggregate(F.filter(x["products"], lambda p: p["back"] <= x["n"] - F.col("n")), F.lit(0.0), lambda s, p: s + p["product"])
+        return F.struct(
+            F.zip_with(a["dots"], x["dots"], lambda p, q: p + q).alias("dots"), (a["square"] + added).alias("square"), a["bits"].bitwiseOR(x["bits"]).alias("bits"), (a["licence_word"] + x["licence_word"]).alias("licence_word"),
+            judged(a).alias("hit"),
+        )
+
+    start = F.struct(none.alias("dots"), F.lit(0.0).alias("square"), F.lit(0).alias("bits"), F.lit(0).alias("licence_word"), F.lit(None).cast("struct<rank: int, similarity: double, order: int>").alias("hit"))
+    following = F.collect_list(F.struct("n", "licence_word", "bits", "products", "dots")).over(Window.partitionBy("key").orderBy("n").rowsBetween(Window.currentRow, WINDOW - 1))
+    runs = vectors.select("key", "n", "reach", following.alias("next")).where("reach is not null")
+    hit = F.aggregate(F.filter("next", lambda x: x["n"] <= F.col("reach")), start, longer, judged)
+    return runs.select("key", hit.alias("hit")).where("hit is not null")
 
 
 def detect(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -193,8 +256,12 @@ def detect(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", path_co
     open_texts = dealt.join(whole.where("rank = 2").select("key").distinct(), "key", "left_anti")
     pieces = open_texts.select("key", F.posexplode(F.split("text", PIECE)).alias("piece", "wording")).withColumn("licence_word", F.rlike("wording", F.lit(TRIGGER)))
     words = weighed(pieces.select("key", "piece", "licence_word", F.explode(_terms(F.col("wording"))).alias("term")), ["key", "piece", "licence_word"])
-    runs = _runs(words, top, least).join(words, "key").where("piece between first and last")
-    parts = hits(runs, ["key", "first", "last"]).select("key", "template", "licence", "rank", "similarity", F.lit(False).alias("whole"))
+    weight = F.map_from_entries(F.collect_list(F.struct("template", F.col("tw") / F.col("norm"))))
+    patterns = pattern.join(F.broadcast(norms.select("template", "norm")), "template").groupBy("term").agg(weight.alias("tws"))
+    patterns = patterns.select("term", F.transform(F.sequence(F.lit(0), F.lit(len(TEMPLATES) - 1)), lambda k: F.coalesce(F.col("tws")[k], F.lit(0.0))).alias("tws"))
+    best = _best_runs(words, written(patterns, "licence-term-patterns"), top, least).groupBy("key").agg(F.max("hit").alias("hit"))
+    parts = best.select("key", (-F.col("hit.order")).alias("template"), "hit.rank", "hit.similarity").join(F.broadcast(norms.select("template", "licence")), "template")
+    parts = parts.select("key", "template", "licence", "rank", "similarity", F.lit(False).alias("whole"))
     order = F.struct("rank", "whole", "similarity", (-F.col("template")).alias("order"), "licence")
     own = written(whole.unionByName(parts).groupBy("key").agg(F.max(order).alias("hit")).select("key", "hit.licence", "hit.similarity", "hit.whole"), "licence-hits")
     copies = held.groupBy("key").agg(F.count("*").alias("n"))

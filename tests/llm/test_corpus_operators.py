@@ -320,6 +320,58 @@ def test_wrapped_licences(spark):
     }
 
 
+def plain_licence(text: str, idf: dict[str, float], least: float = 0.8):
+    """The best of all runs of pieces, by comparing every run with every template: rank, similarity, less the template."""
+    terms = lambda x: [t for t in re.split("[^a-z0-9]+", x.lower()) if t]
+    top = max(idf.values())
+    weigh = lambda words: {t: n * idf.get(t, top) for t, n in collections.Counter(words).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    pieces = [(terms(x), bool(re.search(license_scan.TRIGGER, x))) for x in re.split(license_scan.PIECE, text) if terms(x)]
+    templates, best = [(w, norm(w)) for w in (weigh(terms(x)) for _, x in license_scan.TEMPLATES)], None
+    for first in range(len(pieces)):
+        for last in range(first, min(first + license_scan.WINDOW, len(pieces))):
+            if any(held for _, held in pieces[first : last + 1]):
+                run = weigh(t for x, _ in pieces[first : last + 1] for t in x)
+                marks, length = {m for t in run for m in license_scan.MARKS.get(t, ())}, norm(run)
+                for k, (name, _) in enumerate(license_scan.TEMPLATES):
+                    similar = round(sum(w * run.get(t, 0) for t, w in templates[k][0].items()) / (length * templates[k][1]), 9)
+                    must, never = license_scan.RULES.get(name, ([], []))
+                    if similar >= least and marks.issuperset(must) and not marks.intersection(never):
+                        rank = 1 if k == license_scan.BARE_BSD else license_scan.GENERAL.get(name, 2)
+                        best = max(best or (-1,), (rank, similar, -k))
+    return best
+
+
+def join_rows(spark, done: int) -> int:
+    """The most rows that a join made in the executions after the first `done`."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    for k in range(done, store.executionsCount()):
+        execution = store.executionsList().apply(k).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())) if "Join" in node.name() else ():
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_licence_runs_of_long_texts(spark):
+    """Every run is judged, and no join pairs the runs of a text with its words."""
+    noise, lines = prose(11, 25), [license_scan.TEMPLATES[7 * k % len(license_scan.TEMPLATES)][1][:50] for k in range(90)]
+    texts = ["\n".join(noise if k % 15 > 12 else line for k, line in enumerate(lines)), noise + "\n\n# " + BSD_NOTICE + "\n" + noise, "Released under\nthe\n--\nMIT License\n" + noise, noise + ". Licensed under CC BY-NC\n3.0 and more. " + noise]
+    files = spark.createDataFrame([(k, f"{k}.txt", t) for k, t in enumerate(texts)], "doc_id long, path string, text string")
+    templates = license_scan._templates(spark)
+    idf = {r["term"]: r["idf"] for r in license_scan.term_weights(files, templates).collect()}
+    done = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r["doc_id"]: (r["licence"], r["similarity"], r["whole"]) for r in license_scan.detect(files).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    made = join_rows(spark, done)
+    best = [plain_licence(t, idf) for t in texts]
+    assert got == {k: (license_scan.TEMPLATES[-b[2]][0], b[1], False) if b else (None, None, False) for k, b in enumerate(best)} and any(b and b[0] == 2 for b in best)
+    assert 0 < made <= license_scan.WINDOW * sum(len(t.split()) for t in texts)
+
+
 def test_licence_versions(spark):
     cases = {
         "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
